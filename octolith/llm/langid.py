@@ -36,7 +36,7 @@ PER_LANG, SAMPLE_CHARS = 400, 20_000
 CHUNK_CHARS = 2_000_000
 UNDECIDED = "und"
 #: A document is rejected this many standard errors, plus this many nats, above what calibration saw.
-REJECT_SIGMAS, REJECT_NATS = 6.0, 0.25
+REJECT_SIGMAS, REJECT_NATS = 6.0, 0.6
 
 
 def held_out() -> Column:
