@@ -30,8 +30,8 @@ from pyspark.sql import functions as F
 from octolith.llm.common import grouped_rank, materialize, table
 
 CAPACITY, END_ID = 4096, 1
-#: Words that a worker remembers the ids of; the memory is emptied when full.
-REMEMBERED_WORDS = 400_000
+#: Words, and stretches without white space, that a worker remembers the ids of.
+REMEMBERED = 400_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 # In texts of these characters alone, lower-casing and the split into words are the same in every
@@ -42,30 +42,52 @@ _WORDS = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_DIGITS}]|[^\s{_L
 
 
 class Encoder:
-    """Token ids of a text, as little-endian 32-bit octets, of a word-wise tokenizer file."""
+    """Token ids of a text, as little-endian 32-bit octets, of a word-wise tokenizer file.
+
+    White space always ends a word, so a text is split there first and the ids of a whole stretch are
+    looked up; only unknown stretches are split into words, and only unknown words encoded.
+    """
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known = Tokenizer.from_file(path), {}
+        self.tokenizer = Tokenizer.from_file(path)
+        self.stretches: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends_word = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.ends_word[[k for token, k in vocabulary.items() if token.endswith("</w>")]] = True
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
+    def new_words(self, words: list[str]) -> dict[str, bytes]:
+        """Ids of words, from one call: the tokens that end a word tell them apart."""
+        ids = np.array(self.tokenizer.encode(" ".join(words), add_special_tokens=False).ids, dtype="<u4")
+        stops = np.flatnonzero(self.ends_word[ids]) + 1
+        if len(stops) != len(words):
+            return {w: self.whole(w) for w in words}
+        octets, stops = ids.tobytes(), (4 * stops).tolist()
+        return {w: octets[i:j] for w, i, j in zip(words, [0, *stops], stops, strict=False)}
+
     def encode(self, text: str) -> bytes:
         if _PLAIN.search(text):
             return self.whole(text)
-        words = _WORDS.findall(text.lower())
-        known = self.known
-        try:
-            return b"".join(map(known.__getitem__, words))
-        except KeyError:
-            if len(known) > REMEMBERED_WORDS:
-                known.clear()
-            new = [w for w in set(words) if w not in known]
-            for w, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-                known[w] = np.array(e.ids, dtype="<u4").tobytes()
-            return b"".join(map(known.__getitem__, words))
+        stretches = text.split()
+        parts = list(map(self.stretches.get, stretches))
+        if None in parts:
+            known, at = self.words, [i for i, part in enumerate(parts) if part is None]
+            missing = {x: _WORDS.findall(x.lower()) for x in {stretches[i] for i in at}}
+            new = list({w for words in missing.values() for w in words if w not in known})
+            fresh = self.new_words(new) if new else {}
+            if len(known) < REMEMBERED:  # the common words come early
+                known.update(fresh)
+            found = {x: b"".join([known[w] if w in known else fresh[w] for w in words]) for x, words in missing.items()}
+            if len(self.stretches) < REMEMBERED:
+                self.stretches.update(found)
+            for i in at:
+                parts[i] = found[stretches[i]]
+        return b"".join(parts)
 
 
 def cut_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFrame:
