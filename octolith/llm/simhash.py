@@ -15,6 +15,12 @@ parent; a search follows only the edges within the radius):
 * Components: alternating large-star and small-star rounds over the forest edges, each round
   written to the shared folder.
 
+``keep_one`` is for word shingles at a similarity of 0.8.  There, copies at the limit differ in about 10 of 64
+bits and in up to 18, a radius at which no bits need be equal.  So its shards are keyed by six pairs of
+minimum hashes of the shingle set (a pair of documents at 0.8 shares a key with probability 0.998), the BK-trees
+in them are searched with a radius of 18 bits, and an edge counts if the sketches (128 minimum hashes, 8 bits
+of each) estimate a Jaccard similarity of ``AT_LEAST`` or more: 0.8 less nearly two standard errors, so that few copies at the limit are lost.
+
 Nulls and empty texts: no words, fingerprint zero, linked like any other.  Repeated rows: both get the
 same fingerprint and component.  A null doc_id never becomes a component_id unless its component has
 no other id (then component_id is null).  Extra columns are ignored by ``near_duplicates`` and kept
@@ -39,6 +45,8 @@ FOREST_ROWS = 400_000
 #: Pairs (query, node) that a search holds at once, at the start of each chunk of queries.
 SEARCH_ROWS = 100_000
 
+MINIMA, KEYS, WIDE_RADIUS, AT_LEAST = 128, 6, 18, 0.74
+_FACTORS = np.random.default_rng(8).integers(1 << 20, 1 << 32, MINIMA, dtype=np.uint32) | np.uint32(1)
 _BYTE_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
 
 
@@ -58,8 +66,11 @@ def shingle_hashes(text: bytes, width: int) -> np.ndarray:
 
 
 def simhash(text: bytes | None, width: int = 3) -> int:
-    """Bit i is 1 if it is set in over half the shingle hashes; 0 if there are none."""
-    h = shingle_hashes(text or b"", width)
+    return simhash_of(shingle_hashes(text or b"", width))
+
+
+def simhash_of(h: np.ndarray) -> int:
+    """Bit i is 1 if it is set in over half the hashes; 0 if there are none."""
     if not len(h):
         return 0
     octets = h.view(np.uint8).reshape(-1, 8)
@@ -79,6 +90,24 @@ def with_fingerprint(docs: DataFrame, width: int) -> DataFrame:
     return rows.mapInArrow(run, "doc_id long, text_hash long, fp long")
 
 
+def _alike(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whether sketches estimate a Jaccard similarity of AT_LEAST or more; equal octets also come by chance, 1 in 256."""
+    equal = (a == b).sum(axis=1) / a.shape[1]
+    return (equal - 1 / 256) / (1 - 1 / 256) >= AT_LEAST
+
+
+def min_hashes(h: np.ndarray) -> np.ndarray:
+    """MINIMA minimum hashes (32 bits) of a set of 64-bit hashes."""
+    x = (h ^ (h >> np.uint64(32))).astype(np.uint32)
+    out = np.full(MINIMA, 0xFFFFFFFF, dtype=np.uint32)
+    for lo in range(0, len(x), 2048):
+        y = x[lo : lo + 2048, None] * _FACTORS
+        y ^= y >> np.uint32(15)
+        y *= _FACTORS[::-1]
+        out = np.minimum(out, y.min(axis=0))
+    return out
+
+
 def bk_forest(shard: np.ndarray, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """BK-trees of all shards at once (rows of a shard are adjacent, fingerprints distinct in it).
 
@@ -104,7 +133,7 @@ def bk_forest(shard: np.ndarray, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return root, parent, label
 
 
-def forest_links(shard: np.ndarray, fp: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+def forest_links(shard: np.ndarray, fp: np.ndarray, radius: int, sketch: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Spanning forest (row, row of its local root) of all pairs within ``radius`` in a shard."""
     n = len(fp)
     root, parent, label = bk_forest(shard, fp)
@@ -117,7 +146,9 @@ def forest_links(shard: np.ndarray, fp: np.ndarray, radius: int) -> tuple[np.nda
         node, found = root[q], []
         while q.size:
             d = np.bitwise_count(fp[q] ^ fp[node]).astype(np.int64)
-            near = d <= radius
+            near = np.flatnonzero((d <= radius) & (comp[q] != comp[node]))
+            if sketch is not None:
+                near = near[np.concatenate([_alike(sketch[q[x]], sketch[node[x]]) for x in np.array_split(near, len(near) // SEARCH_ROWS + 1)])]
             found.append((q[near], node[near]))
             count = begin[node + 1] - begin[node]
             at = np.repeat(begin[node] - np.r_[0, np.cumsum(count)[:-1]], count) + np.arange(count.sum())
@@ -138,22 +169,26 @@ def forest_links(shard: np.ndarray, fp: np.ndarray, radius: int) -> tuple[np.nda
     return rows, comp[rows]
 
 
-def _forest(radius: int):
+def _forest(radius: int, sketched: bool = False):
+    """Of rows (shard, fp[, node, sketch]) sorted by shard: forest edges between fps (or nodes)."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def links(shard: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
-            a, b = forest_links(shard, fp, radius)
-            ends = np.unique(np.stack([fp[a], fp[b]], axis=1), axis=0).view(np.int64) if len(a) else np.empty((0, 2), dtype=np.int64)
+        def links(shard: np.ndarray, fp: np.ndarray, node: np.ndarray, sketch: np.ndarray | None) -> pa.RecordBatch:
+            a, b = forest_links(shard, fp, radius, sketch)
+            ends = np.unique(np.stack([node[a], node[b]], axis=1), axis=0) if len(a) else np.empty((0, 2), dtype=np.int64)
             return pa.RecordBatch.from_arrays([pa.array(ends[:, 0]), pa.array(ends[:, 1])], names=["u", "v"])
 
-        shard, fp = np.empty(0, dtype=np.int64), np.empty(0, dtype=np.uint64)
+        held: list[np.ndarray | None] = [np.empty(0, dtype=np.int64), np.empty(0, dtype=np.uint64), np.empty(0, dtype=np.int64), np.empty((0, MINIMA), dtype=np.uint8) if sketched else None]
         for b in batches:
-            shard = np.r_[shard, b.column(0).to_numpy()]
-            fp = np.r_[fp, b.column(1).to_numpy().view(np.uint64)]
-            if len(shard) >= FOREST_ROWS and (cut := int(np.searchsorted(shard, shard[-1]))):
-                yield links(shard[:cut], fp[:cut])
-                shard, fp = shard[cut:], fp[cut:]
-        if len(shard):
-            yield links(shard, fp)
+            new = [b.column(0).to_numpy(), b.column(1).to_numpy().view(np.uint64), b.column(2 if sketched else 1).to_numpy()]
+            if sketched:
+                new.append(np.frombuffer(b"".join(b.column(3).to_pylist()), dtype=np.uint8).reshape(-1, MINIMA))
+            held = [np.concatenate([x, y]) for x, y in zip(held, new, strict=False)] + [None] * (not sketched)
+            if len(held[0]) >= FOREST_ROWS and (cut := int(np.searchsorted(held[0], held[0][-1]))):
+                yield links(*(None if x is None else x[:cut] for x in held))
+                held = [None if x is None else x[cut:] for x in held]
+        if len(held[0]):
+            yield links(*held)
 
     return run
 
@@ -206,29 +241,59 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     return now.select(F.col("u").alias("node"), F.col("v").alias("label"))
 
 
-def components_of(rows: DataFrame, radius: int = 3) -> DataFrame:
-    """Adds component_id and first_hash (of the document that stays) to rows of (doc_id, text_hash, fp)."""
+def components_of(rows: DataFrame, links: DataFrame, node: str = "fp") -> DataFrame:
+    """Adds component_id and first_hash (of the document that stays) to rows of (doc_id, text_hash, ``node``)."""
     last = F.lit((1 << 63) - 1)
-    classes = rows.groupBy("fp").agg(F.min(F.struct(F.coalesce("doc_id", last).alias("k"), "doc_id", "text_hash")).alias("first"))
-    labels = connected_components(hamming_links(rows.select("fp").distinct(), radius))
-    named = classes.join(labels, classes.fp == labels.node, "left").select("fp", "first", F.coalesce("label", "fp").alias("label"))
+    classes = rows.groupBy(node).agg(F.min(F.struct(F.coalesce("doc_id", last).alias("k"), "doc_id", "text_hash")).alias("first"))
+    labels = connected_components(links).withColumnRenamed("node", "_n")
+    named = classes.join(labels, classes[node] == labels._n, "left").select(node, "first", F.coalesce("label", node).alias("label"))
     firsts = named.groupBy("label").agg(F.min("first").alias("best"))
-    ids = named.select("fp", "label").join(firsts, "label").select(F.col("fp").alias("_fp"), "best")
-    return rows.join(ids, rows.fp == ids._fp).select("doc_id", "text_hash", "fp", F.col("best.doc_id").alias("component_id"), F.col("best.text_hash").alias("first_hash"))
+    ids = named.select(F.col(node).alias("_fp"), "label").join(firsts, "label").select("_fp", "best")
+    return rows.join(ids, rows[node] == ids._fp).select("doc_id", "text_hash", node, F.col("best.doc_id").alias("component_id"), F.col("best.text_hash").alias("first_hash"))
 
 
 def near_duplicates(docs: DataFrame, width: int = 3, radius: int = 3) -> DataFrame:
     """One row per document: doc_id, fingerprint (16 hex digits), component_id."""
     rows = materialize(with_fingerprint(docs, width), "simhash")
     hexa = F.lower(F.lpad(F.hex("fp"), 16, "0"))
-    return components_of(rows, radius).select("doc_id", hexa.alias("fingerprint"), "component_id")
+    links = hamming_links(rows.select("fp").distinct(), radius)
+    return components_of(rows, links).select("doc_id", hexa.alias("fingerprint"), "component_id")
+
 
+def with_sketch(docs: DataFrame, width: int) -> DataFrame:
+    """(doc_id, text_hash, fp, node, keys, sketch); node stands for all texts with this fingerprint and sketch."""
 
-def keep_one(docs: DataFrame, width: int = 5, radius: int = 3) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            fps, nodes, keys, sketches = [], [], [], []
+            for text in b.column(2):
+                h = shingle_hashes(text.as_py() or b"", width)
+                low = min_hashes(h)
+                fps.append(simhash_of(h))
+                sketches.append(low.astype(np.uint8).tobytes())
+                nodes.append(xxhash.xxh64_intdigest(fps[-1].to_bytes(8, "little") + low.tobytes()))
+                keys.append([xxhash.xxh64_intdigest(low[2 * k : 2 * k + 2].tobytes(), k) for k in range(KEYS)])
+            long = [pa.array(np.array(x, dtype=np.uint64).view(np.int64)) for x in (fps, nodes)]
+            flat = pa.array(np.array(keys, dtype=np.uint64).ravel().view(np.int64))
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(fps) + 1) * KEYS, pa.int32()), flat)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *long, lists, pa.array(sketches, pa.binary())], names=["doc_id", "text_hash", "fp", "node", "keys", "sketch"])
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), F.encode("text", "UTF-8").alias("t"))
+    return rows.mapInArrow(run, "doc_id long, text_hash long, fp long, node long, keys array<long>, sketch binary")
+
+
+def shingle_links(rows: DataFrame) -> DataFrame:
+    """(u, v): forest edges between nodes of ``with_sketch`` rows that are alike."""
+    nodes = rows.groupBy("node").agg(F.first("fp").alias("fp"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch"))
+    shards = nodes.select(F.explode("keys").alias("shard"), "fp", "node", "sketch").repartition("shard").sortWithinPartitions("shard", "node")
+    return shards.mapInArrow(_forest(WIDE_RADIUS, sketched=True), "u long, v long")
+
+
+def keep_one(docs: DataFrame, width: int = 5) -> DataFrame:
     """The documents that stay, all columns: of each component the one with the smallest doc_id (then text hash), once."""
-    rows = materialize(with_fingerprint(docs, width), "simhash")
+    rows = materialize(with_sketch(docs, width), "sketches")
     last = F.lit((1 << 63) - 1)
-    stay = components_of(rows, radius).select(F.coalesce("component_id", last).alias("_k"), F.col("first_hash").alias("_h")).distinct()
+    stay = components_of(rows.select("doc_id", "text_hash", "node"), shingle_links(rows), "node").select(F.coalesce("component_id", last).alias("_k"), F.col("first_hash").alias("_h")).distinct()
     names = docs.columns
     keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"), F.coalesce(F.col("doc_id").cast("long"), last).alias("_k"), F.xxhash64("text").alias("_h"))
     return keyed.join(stay, ["_k", "_h"], "left_semi").dropDuplicates(["_k", "_h"]).select("_row.*")
