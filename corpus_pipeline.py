@@ -3,16 +3,40 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from octolith.llm import simhash
+from octolith.llm import langid, linededup, mixing, packing, simhash
 from octolith.llm.common import materialize, table
 
 
-def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return simhash.keep_one(docs, width=5, radius=3)
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language is known with confidence; learnt from their own labels."""
+    model = langid.fit(langid.labelled_sample(docs))
+    found = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), "text")
+    return langid.identify(found, model).filter(~F.col("rejected")).select("_row.*")
 
 
-STAGES = [("near_dedup", near_dedup)]
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the lines whose template recurs in earlier documents."""
+    return linededup.without_templates(docs)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group that shares 0.8 or more of its five-word shingles."""
+    return simhash.keep_one(docs, width=5)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix takes them."""
+    return mixing.mixed_rows(docs)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents with their places in sequences."""
+    return packing.pack(docs, packing.default_tokenizer())
+
+
+STAGES = [("language", language), ("lines", lines), ("near_duplicates", near_duplicates), ("mix", mix), ("pack", pack)]
 #: Language models, components and packing are beyond SQL.
 ORACLE_SQL = None
 
