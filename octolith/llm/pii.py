@@ -40,7 +40,8 @@ PATTERNS = {
 }
 #: What a text must hold for a pattern to be tried on it.
 NEEDS = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9](?:[\x20-]?[0-9]){13}", "phone": r"\+[0-9]"}
-CANDIDATE = r"(?<![A-Za-z0-9])[A-Za-z0-9]++(?:[._:/-][A-Za-z0-9]++)*+"
+#: The first run holds a digit: words are not looked at further.
+CANDIDATE = r"(?<![A-Za-z0-9])(?=[A-Za-z]*+[0-9])[A-Za-z0-9]++(?:[._:/-][A-Za-z0-9]++)*+"
 CANDIDATE_NEEDS = r"[0-9][A-Za-z0-9._:/-]{0,3}[0-9]"
 LEAST, LONGEST, LEAST_DIGITS = 7, 80, 4
 AROUND = 24
