@@ -47,7 +47,7 @@ def held_out() -> Column:
 def labelled_sample(docs: DataFrame, per_lang: int = PER_LANG) -> list[tuple[str, str]]:
     """(lang, text) of a bounded, repeatable sample of labelled documents that aren't held out."""
     length = F.char_length("text")
-    rows = docs.filter(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out() & (length > 0) & (length <= SAMPLE_CHARS))
+    rows = docs.select("doc_id", "lang", "text").filter(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out() & (length > 0) & (length <= SAMPLE_CHARS))
     hashed = rows.withColumn("_h", F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(1 << 32)))
     counts = rows.groupBy("lang").count()
     # a threshold on the hash first: the window sees a few times per_lang rows of a language, however many there are
