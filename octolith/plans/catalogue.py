@@ -203,7 +203,7 @@ def _(spark, d):
     return octree.stats(_with_voxels(points, tree, WIDE)[1], WIDE)
 
 
-@query("chunk_slots", _tree(EVENTS, SMALL) + "SELECT pid, (at // 10)::BIGINT AS chunk, (at % 10)::BIGINT AS slot FROM (SELECT pid, row_number() OVER (PARTITION BY level, nx, ny, nz ORDER BY pid) - 1 AS at FROM leaves)")
+@query("chunk_slots", _tree(EVENTS, SMALL) + "SELECT pid, (place // 10)::BIGINT AS chunk, (place % 10)::BIGINT AS slot FROM (SELECT pid, row_number() OVER (PARTITION BY level, nx, ny, nz ORDER BY pid) - 1 AS place FROM leaves)")
 def _(spark, d):
     points, tree = _events_tree(spark, d)
     return octree.chunk_slots(octree.leaf_points(points, tree, SMALL), SMALL).select("pid", "chunk", "slot")
