@@ -24,7 +24,7 @@ def read_box(path: str) -> tuple[tuple[float, ...], tuple[float, ...], int]:
     """Lower and upper corner, and the number of points."""
     with _open(path) as file:
         box = np.frombuffer(file.read(HEADER_BYTES), dtype="<f4").astype(float)
-        return tuple(box[:3]), tuple(box[3:]), (file.size() - HEADER_BYTES) // POINT_BYTES
+        return tuple(map(float, box[:3])), tuple(map(float, box[3:])), (file.size() - HEADER_BYTES) // POINT_BYTES
 
 
 @dataclass
