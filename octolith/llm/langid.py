@@ -6,7 +6,7 @@ back-off weights; a lookup is a binary search.  The language of the lowest cross
 character wins; a document is rejected when even that lies above a limit calibrated on documents
 that the models have not seen.
 
-Learning: up to ``per_lang`` documents per language (``SAMPLE_CHARS`` characters at most each), the
+Learning: the ``MOST_LANGS`` commonest languages, up to ``per_lang`` documents of each (``SAMPLE_CHARS`` characters at most), the
 ones with the smallest hash of their doc_id; that bound fits the models, everything else reads whole
 texts of all documents.  A fifth of the sample only calibrates.
 
@@ -32,7 +32,7 @@ from octolith.llm.common import table
 
 ORDER, SYMBOL_BITS = 4, 6
 SYMBOLS = 1 << SYMBOL_BITS  #: 0: any other letter, 1: what stands between words, 2...: the sample's commonest letters
-PER_LANG, SAMPLE_CHARS = 400, 20_000
+PER_LANG, SAMPLE_CHARS, MOST_LANGS = 400, 20_000, 500
 CHUNK_CHARS = 2_000_000
 UNDECIDED = "und"
 #: A document is rejected this many standard errors, plus this many nats, above what calibration saw.
@@ -49,9 +49,12 @@ def labelled_sample(docs: DataFrame, per_lang: int = PER_LANG) -> list[tuple[str
     length = F.char_length("text")
     rows = docs.select("doc_id", "lang", "text").filter(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out() & (length > 0) & (length <= SAMPLE_CHARS))
     hashed = rows.withColumn("_h", F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(1 << 32)))
-    counts = rows.groupBy("lang").count()
-    # a threshold on the hash first: the window sees a few times per_lang rows of a language, however many there are
-    near = hashed.join(counts, "lang").filter(F.col("_h") <= F.lit(float(4 * per_lang * (1 << 32))) / F.col("count"))
+    counts = {r.lang: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGS).collect()}
+    if not counts:
+        return []
+    # a threshold on the hash, on the scan itself: the window gets a few times per_lang rows of a language, however many there are
+    most = F.create_map(*[F.lit(x) for lang, n in sorted(counts.items()) for x in (lang, 4.0 * per_lang * (1 << 32) / n)])
+    near = hashed.filter(F.col("_h") <= F.try_element_at(most, F.col("lang")))
     w = Window.partitionBy("lang").orderBy("_h", "doc_id", F.xxhash64("text"))
     picked = near.select("lang", "text", "_h", "doc_id").withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= per_lang)
     return [(r.lang, r.text) for r in sorted(picked.collect(), key=lambda r: (r.lang, r._r))]
