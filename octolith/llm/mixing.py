@@ -90,9 +90,10 @@ def mixed_rows(docs: DataFrame, seed: str = "mix", **how) -> DataFrame:
     whole = F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row")
     sized = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", word_count(F.col("text")).alias("size"), F.xxhash64("text").alias("_h"))
     # decisions are made on small rows; equal rows (same doc_id and text) share them one by one
-    taken = copies(sized, seed, **how).groupBy("doc_id", "_h").agg(F.sum("copies").alias("_copies"), F.count(F.lit(1)).alias("_rows"))
-    keyed = docs.select(whole, F.col("doc_id").cast("long").alias("_k"), F.xxhash64("text").alias("_t"))
-    both = keyed.join(taken, F.col("_k").eqNullSafe(F.col("doc_id")) & (F.col("_t") == F.col("_h")))
+    last = F.lit((1 << 63) - 1)
+    taken = copies(sized, seed, **how).groupBy(F.coalesce("doc_id", last).alias("_k"), F.col("_h").alias("_t")).agg(F.sum("copies").alias("_copies"), F.count(F.lit(1)).alias("_rows"))
+    keyed = docs.select(whole, F.coalesce(F.col("doc_id").cast("long"), last).alias("_k"), F.xxhash64("text").alias("_t"))
+    both = keyed.join(taken, ["_k", "_t"])  # the window below finds its rows where this join left them
     nth = F.row_number().over(Window.partitionBy("_k", "_t").orderBy(F.lit(1)))
     both = both.withColumn("_times", F.floor(F.col("_copies") * nth / F.col("_rows")) - F.floor(F.col("_copies") * (nth - 1) / F.col("_rows")))
     return both.filter("_times > 0").select(F.explode(F.array_repeat("_row", F.col("_times").cast("int"))).alias("_row")).select("_row.*")
