@@ -7,6 +7,8 @@ towards the root.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,11 +32,11 @@ def filter_level(leaves: DataFrame, finer: DataFrame | None, level: int, config:
     return _mean(here)
 
 
-def filter_colors(leaves: DataFrame, config: TreeConfig, deepest: int | None = None) -> DataFrame:
-    """Voxels of all inner nodes with filtered colours: (node, vx, vy, vz, color)."""
+def filter_colors(leaves: DataFrame, config: TreeConfig, deepest: int | None = None, materialize: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
+    """Voxels of all inner nodes with filtered colours: (node, vx, vy, vz, color).  ``materialize`` cuts the plan between levels."""
     out, finer = None, None
     for level in range((config.max_depth if deepest is None else deepest) - 1, -1, -1):
-        finer = filter_level(leaves, finer, level, config)
+        finer = materialize(filter_level(leaves, finer, level, config))
         node = [F.shiftright(g, config.grid_bits).alias(f"n{a}") for g, a in zip(GLOBAL, AXES, strict=True)]
         inside = [F.col(g).bitwiseAND(F.lit(config.grid - 1)).alias(f"v{a}") for g, a in zip(GLOBAL, AXES, strict=True)]
         rows = finer.select(F.lit(level).alias("level"), *node, *inside, "color")

@@ -6,6 +6,7 @@ from an area to cells, from cells to intervals, from intervals to points, and ch
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -136,10 +137,13 @@ def coarsen_step(counts: DataFrame, level: int, minimum: int) -> DataFrame:
     return kept.unionByName(merged.select(F.col("parent").alias("cell"), "n")).unionByName(others)
 
 
-def coarsen(counts: DataFrame, levels: int, minimum: int = 100_000) -> DataFrame:
-    """Steps from the finest level up; a parent made by one step takes part in the next."""
+def coarsen(counts: DataFrame, levels: int, minimum: int = 100_000, materialize: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
+    """Steps from the finest level up; a parent made by one step takes part in the next.
+
+    A step reads its input three times: ``materialize`` (a table in shared storage) keeps the plan from growing with each.
+    """
     for level in range(levels, 0, -1):
-        counts = coarsen_step(counts, level, minimum)
+        counts = materialize(coarsen_step(counts, level, minimum))
     return counts
 
 

@@ -14,6 +14,7 @@ from octolith.operators import colorfilter, nested, octree, raster, view
 from octolith.operators import spatial_index as si
 from octolith.plans.adaptors import CUBE, EMBEDDINGS, EVENTS, LINES, embedding_points, event_points, line_points
 from octolith.sources import files, las
+from octolith.storage import stored
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -26,7 +27,7 @@ FLAT = View(((2.0**-19, 0, 0, -1.0), (0, 2.0**-19, 0, -1.0), (0, 0, 2.0**-19, -1
 DEEP = View(((2.0, 0, 0, -(2.0**20)), (0, 2.0, 0, -(2.0**20)), (0, 0, 1.0, 0), (0, 0, 1.0, 2.0**20)), 64, 64, 4.0)
 GRID = si.Grid(0.0, 0.0, 65536.0, 4)
 RECTANGLE = ((100_000.0, 50_000.0), (400_000.0, 300_000.0))
-CIRCLE = (500_000.0, 100_000.0, 150_000.0)
+CIRCLE = (100_000.0, 40_000.0, 60_000.0)
 
 
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
@@ -106,17 +107,17 @@ _RUNS = _CELLS + """, runs AS (SELECT cell, min(pid) AS start, max(pid) AS "end"
 
 def _events_tree(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     points = event_points(spark, d)
-    return points, octree.nodes(points, SMALL)
+    return points, stored(octree.nodes(points, SMALL), "nodes")
 
 
 def _lines_tree(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     points = line_points(spark, d)
-    return points, octree.nodes(points, WIDE)
+    return points, stored(octree.nodes(points, WIDE), "nodes")
 
 
 def _with_voxels(points: DataFrame, tree: DataFrame, config: TreeConfig) -> tuple[DataFrame, DataFrame]:
-    some = octree.voxels(points, tree, config)
-    return some, octree.with_voxel_counts(tree, some)
+    some = stored(octree.voxels(points, tree, config), "voxels")
+    return some, stored(octree.with_voxel_counts(tree, some), "nodes")
 
 
 @query("lattice_project", f"WITH {EVENTS} SELECT pid, px, py, pz, (px >> 25)::BIGINT AS n3, ((px >> 25) & 1) * 4 + ((py >> 25) & 1) * 2 + ((pz >> 25) & 1) AS child, (px >> 18) % 128 AS v3 FROM pts")
@@ -150,7 +151,7 @@ def _(spark, d):
 
 @query("octree_nodes", _tree(LINES, WIDE) + "SELECT * FROM tree")
 def _(spark, d):
-    return _lines_tree(spark, d)[1]
+    return octree.nodes(line_points(spark, d), WIDE)
 
 
 @query("leaf_assignment", _tree(EVENTS, SMALL) + "SELECT pid, level, nx, ny, nz FROM leaves")
@@ -382,13 +383,14 @@ def _(spark, d):
 @query("color_filter")
 def _(spark, d):
     points, tree = _events_tree(spark, d)
-    return colorfilter.filter_colors(octree.leaf_points(points, tree, SMALL, "color"), SMALL)
+    leaves = stored(octree.leaf_points(points, tree, SMALL, "color"), "leaves")
+    return colorfilter.filter_colors(leaves, SMALL, materialize=stored)
 
 
 @query("nested_samples")
 def _(spark, d):
     points, tree = _events_tree(spark, d)
-    return nested.nested_samples(points, tree, SMALL)
+    return nested.nested_samples(points, tree, SMALL, stored)
 
 
 # records and colours ---------------------------------------------------------------------------------
@@ -510,7 +512,7 @@ def _(spark, d):
 
 @query("cell_coarsen")
 def _(spark, d):
-    return si.coarsen(_cells(spark, d).groupBy("cell").agg(F.count(F.lit(1)).alias("n")), 4, 400)
+    return si.coarsen(_cells(spark, d).groupBy("cell").agg(F.count(F.lit(1)).alias("n")), 4, 400, stored)
 
 
 @query("range_query", f"WITH {EVENTS} SELECT pid FROM pts WHERE x >= 100000 AND x < 400000 AND y >= 50000 AND y < 300000")
@@ -519,7 +521,7 @@ def _(spark, d):
     return si.query(cells, si.intervals(cells, 100), GRID, si.meets_rectangle(*RECTANGLE), si.in_rectangle(*RECTANGLE)).select("pid")
 
 
-@query("circle_query", f"WITH {EVENTS} SELECT pid FROM pts WHERE (x - 500000) * (x - 500000) + (y - 100000) * (y - 100000) < 22500000000")
+@query("circle_query", f"WITH {EVENTS} SELECT pid FROM pts WHERE (x - 100000) * (x - 100000) + (y - 40000) * (y - 40000) < 3600000000")
 def _(spark, d):
     cells = _cells(spark, d)
     return si.query(cells, si.intervals(cells, 100), GRID, si.meets_circle(*CIRCLE), si.in_circle(*CIRCLE)).select("pid")
@@ -529,7 +531,7 @@ def _(spark, d):
 def _(spark, d):
     """The same rectangle, by an index whose cells have several levels."""
     cells = _cells(spark, d)
-    coarse = si.coarsen(cells.groupBy("cell").agg(F.count(F.lit(1)).alias("n")), 4, 400).select(F.col("cell").alias("c"))
+    coarse = si.coarsen(cells.groupBy("cell").agg(F.count(F.lit(1)).alias("n")), 4, 400, stored).select(F.col("cell").alias("c"))
     kept = [cells.withColumn("c", si.tile_of(GRID, F.col("cell"), k)) for k in range(GRID.levels, -1, -1)]
     rows = None
     for k in kept:
@@ -578,7 +580,7 @@ def _(spark, d):
     return e.select("vec_id", *[F.round(c, 6).alias(n) for n, c in rounded.items()], scalars.minimum(a, b)[0].alias("lo"), scalars.maximum(a, b)[0].alias("hi"))
 
 
-@query("frustum_points", f"WITH {EMBEDDINGS} SELECT pid, " + " AND ".join(f"{a!r}::DOUBLE * x + {b!r}::DOUBLE * y + {c!r}::DOUBLE * z + {e!r}::DOUBLE >= 0" for a, b, c, e in camera.frustum_planes(DEEP.transform)) + " AS inside FROM pts")
+@query("frustum_points", f"WITH {EMBEDDINGS} SELECT pid, " + " AND ".join(f"{a!r}::DOUBLE * x + {b!r}::DOUBLE * y + {c!r}::DOUBLE * z + {e!r}::DOUBLE >= 0" for a, b, c, e in camera.frustum_planes(DEEP.transform) if a or b or c) + " AS inside FROM pts")
 def _(spark, d):
     p = embedding_points(spark, d)
     return p.select("pid", camera.point_in_frustum(camera.frustum_planes(DEEP.transform), [F.col(a) for a in AXES]).alias("inside"))

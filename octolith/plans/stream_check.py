@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 from octolith.config import TreeConfig
 from octolith.plans.adaptors import EVENTS, event_points
+from octolith.storage import shared_folder
 from octolith.streaming.build import BuildState, read_stream, start
 
 CONFIG = TreeConfig(max_points=50, max_depth=5, grid=16)
@@ -16,8 +17,7 @@ SQL = f"WITH {EVENTS} SELECT l::INTEGER AS level, px >> (28 - l) AS nx, py >> (2
 
 def stream_equals_batch(spark: SparkSession, sf_dir: str, batches: int = 4) -> DataFrame:
     """Point files in several micro-batches, then the counts of the last committed state."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    folder = tempfile.mkdtemp(prefix="stream-", dir=base.removeprefix("file://") if base and "://" not in base.removeprefix("file://") else None)
+    folder = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     points = event_points(spark, sf_dir).select("pid", "px", "py", "pz")
     points.repartition(batches, "pid").write.mode("overwrite").parquet(f"{folder}/in")
     state = BuildState(f"{folder}/state", CONFIG)
