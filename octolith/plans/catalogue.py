@@ -518,13 +518,13 @@ def _(spark, d):
 @query("range_query", f"WITH {EVENTS} SELECT pid FROM pts WHERE x >= 100000 AND x < 400000 AND y >= 50000 AND y < 300000")
 def _(spark, d):
     cells = _cells(spark, d)
-    return si.query(cells, si.intervals(cells, 100), GRID, si.meets_rectangle(*RECTANGLE), si.in_rectangle(*RECTANGLE)).select("pid")
+    return si.query(cells, stored(si.intervals(cells, 100), "index"), GRID, si.meets_rectangle(*RECTANGLE), si.in_rectangle(*RECTANGLE)).select("pid")
 
 
 @query("circle_query", f"WITH {EVENTS} SELECT pid FROM pts WHERE (x - 100000) * (x - 100000) + (y - 40000) * (y - 40000) < 3600000000")
 def _(spark, d):
     cells = _cells(spark, d)
-    return si.query(cells, si.intervals(cells, 100), GRID, si.meets_circle(*CIRCLE), si.in_circle(*CIRCLE)).select("pid")
+    return si.query(cells, stored(si.intervals(cells, 100), "index"), GRID, si.meets_circle(*CIRCLE), si.in_circle(*CIRCLE)).select("pid")
 
 
 @query("adaptive_query", f"WITH {EVENTS} SELECT pid FROM pts WHERE x >= 100000 AND x < 400000 AND y >= 50000 AND y < 300000")
@@ -537,7 +537,7 @@ def _(spark, d):
     for k in kept:
         part = k.join(coarse, "c", "left_semi").select(F.col("c").alias("cell"), "pid")
         rows = part if rows is None else rows.unionByName(part)
-    return si.query(cells, si.intervals(rows, 100), GRID, si.meets_rectangle(*RECTANGLE), si.in_rectangle(*RECTANGLE)).select("pid")
+    return si.query(cells, stored(si.intervals(stored(rows, "cells"), 100), "index"), GRID, si.meets_rectangle(*RECTANGLE), si.in_rectangle(*RECTANGLE)).select("pid")
 
 
 @query("cell_occupancy", _CELLS + f"SELECT DISTINCT ((cell - {si.level_offset(4)}) >> 4) + {si.level_offset(2)} AS cell FROM cells")

@@ -10,6 +10,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _own: str | None = None
+_written: list[str] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -28,4 +29,14 @@ def stored(df: DataFrame, what: str = "table") -> DataFrame:
     """Writes ``df`` and reads it again.  Lost executors don't matter: every one can read the table."""
     path = f"{shared_folder(df.sparkSession)}/{what}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _written.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def drop_stored(spark: SparkSession) -> int:
+    """Deletes the tables that this process has stored; for when no result that reads them is needed any more."""
+    n = len(_written)
+    for path in map(spark._jvm.org.apache.hadoop.fs.Path, _written):
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    _written.clear()
+    return n

@@ -228,6 +228,15 @@ def test_stream(spark, tmp_path, backwards):
     assert state.processed(spark) == 0
 
 
+def test_storage(spark):
+    from octolith import storage
+
+    storage.drop_stored(spark)
+    kept = storage.stored(spark.range(5).withColumnRenamed("id", "n"))
+    assert kept.columns == ["n"] and kept.count() == 5
+    assert storage.drop_stored(spark) == 1
+
+
 CHEAP = ["lattice_project", "morton_code", "cell_counts", "image_nearest", "image_hqs", "quantize", "bitfields", "cell_intervals", "intervals_topk", "interval_union", "cell_coarsen_step", "range_query", "circle_query", "vector_ops", "string_pad_split"]
 
 
