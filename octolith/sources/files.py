@@ -11,11 +11,16 @@ from pyspark.sql import functions as F
 from octolith.config import Cube
 from octolith.sources import las, xyzrgba
 
-#: Suffix to reader; the short one is what converters of such files use.
-READERS = {".las": las.read_las, ".laz": las.read_las, ".simlod": xyzrgba.read_xyzrgba, ".xyzrgba": xyzrgba.read_xyzrgba}
+#: Suffix (lower case) to reader.
+READERS = {".las": las.read_las, ".laz": las.read_las, ".xyzrgba": xyzrgba.read_xyzrgba}
 COMMON = ("pid", "x", "y", "z", "r", "g", "b", "a")
 
 
+def register_suffix(name: str, like: str = ".xyzrgba") -> None:
+    """Reads files of another suffix as those of a known one: converters name the 16-octet format in their own ways."""
+    READERS[name.lower()] = READERS[like]
+
+
 def suffix(path: str) -> str:
     return os.path.splitext(path)[1].lower()
 

@@ -152,6 +152,9 @@ def test_files(spark, tmp_path):
     low, high, _ = xyzrgba.read_box(parts[0])
     assert low == (0.0, 0.0, 0.0) and high == (499.0, 998.0, 1497.0)
     las.write_las(f"{tmp_path}/b.LAS", [0.0, 9.0], [0.0, 9.0], [0.0, 9.0])
+    files.register_suffix(".Raw16")
+    os.rename(parts[0], f"{tmp_path}/z.raw16")
+    parts[0] = f"{tmp_path}/z.raw16"
     paths = [*parts, f"{tmp_path}/b.LAS", f"{tmp_path}/missing.las", f"{tmp_path}/x.txt"]
     got = files.read_points(spark, paths)
     assert got.count() == 502 and got.select("pid").distinct().count() == 502 and got.agg(F.max("pid")).first()[0] == 501
