@@ -254,6 +254,8 @@ def write_archives(pages: DataFrame, folder: str) -> DataFrame:
                 n, size = n + 1, size + len(data)
         if out is not None:
             out.close()
+            if files.get_file_info(f"{root}/{name}").type != fs.FileType.NotFound:  # an earlier attempt's whole file; some stores don't rename over one
+                files.delete_file(f"{root}/{name}")
             files.move(f"{root}/.{name}-{task.taskAttemptId()}", f"{root}/{name}")
             yield pa.RecordBatch.from_arrays([pa.array([f"{folder}/{name}"]), pa.array([n]), pa.array([size])], names=["path", "records", "bytes"])
 
