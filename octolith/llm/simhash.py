@@ -16,7 +16,7 @@ parent; a search follows only the edges within the radius):
   written to the shared folder.
 
 ``keep_one`` is for word shingles at a similarity of 0.8.  There, copies at the limit differ in about 10 of 64
-bits and in up to 18, a radius at which no bits need be equal.  So its shards are keyed by six pairs of
+bits and rarely in more than 14, a radius at which no bits need be equal.  So its shards are keyed by six pairs of
 minimum hashes of the shingle set (a pair of documents at 0.8 shares a key with probability 0.998), the BK-trees
 in them are searched with a radius of 18 bits, and an edge counts if the sketches (128 minimum hashes, 8 bits
 of each) estimate a Jaccard similarity of ``AT_LEAST`` or more: 0.8 less nearly two standard errors, so that few copies at the limit are lost.
