@@ -18,8 +18,9 @@ parent; a search follows only the edges within the radius):
 ``keep_one`` is for word shingles at a similarity of 0.8.  There, copies at the limit differ in about 10 of 64
 bits and rarely in more than 14, a radius at which no bits need be equal.  So its shards are keyed by six pairs of
 minimum hashes of the shingle set (a pair of documents at 0.8 shares a key with probability 0.998), the BK-trees
-in them are searched with a radius of 18 bits, and an edge counts if the sketches (128 minimum hashes, 8 bits
-of each) estimate a Jaccard similarity of ``AT_LEAST`` or more: 0.8 less nearly two standard errors, so that few copies at the limit are lost.
+in them are searched with a radius of 18 bits, and an edge counts if the sketches estimate a Jaccard similarity of
+``AT_LEAST`` or more, less ``SIGMAS`` standard errors.  A sketch cuts the hash space into ``CELLS`` cells and keeps 8 bits of
+the smallest hash in each: short texts have nearly all their shingles in it, so their estimate is nearly exact.
 
 Nulls and empty texts: no words, fingerprint zero, linked like any other.  Repeated rows: both get the
 same fingerprint and component.  A null doc_id never becomes a component_id unless its component has
@@ -45,7 +46,11 @@ FOREST_ROWS = 400_000
 #: Pairs (query, node) that a search holds at once, at the start of each chunk of queries.
 SEARCH_ROWS = 100_000
 
-MINIMA, KEYS, WIDE_RADIUS, AT_LEAST = 128, 6, 18, 0.74
+KEYS, WIDE_RADIUS, AT_LEAST, SIGMAS = 6, 18, 0.8, 2.0
+MINIMA = 2 * KEYS
+CELLS = 1024
+#: Pairs of sketches that are compared at once, and rows with sketches that are turned into trees at once.
+SKETCH_PAIRS, SKETCH_ROWS = 8192, 50_000
 _FACTORS = np.random.default_rng(8).integers(1 << 20, 1 << 32, MINIMA, dtype=np.uint32) | np.uint32(1)
 _BYTE_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
 
@@ -90,10 +95,29 @@ def with_fingerprint(docs: DataFrame, width: int) -> DataFrame:
     return rows.mapInArrow(run, "doc_id long, text_hash long, fp long")
 
 
-def _alike(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Whether sketches estimate a Jaccard similarity of AT_LEAST or more; equal octets also come by chance, 1 in 256."""
-    equal = (a == b).sum(axis=1) / a.shape[1]
-    return (equal - 1 / 256) / (1 - 1 / 256) >= AT_LEAST
+def _alike(sketch: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whether the sketches in rows ``a`` and ``b`` estimate a Jaccard similarity of AT_LEAST or more, less SIGMAS standard errors."""
+    out = []
+    for lo in range(0, len(a), SKETCH_PAIRS):
+        x, y = sketch[a[lo : lo + SKETCH_PAIRS]], sketch[b[lo : lo + SKETCH_PAIRS]]
+        used = np.count_nonzero(x | y, axis=1)
+        equal = CELLS - np.count_nonzero(x ^ y, axis=1) - (CELLS - used)
+        # the used cells are a sample, without replacement, of as many shingles as fill that many cells
+        shingles = -CELLS * np.log1p(-np.minimum(used, CELLS - 0.5) / CELLS)
+        spread = np.sqrt(AT_LEAST * (1 - AT_LEAST) * used * np.maximum(1 - used / np.maximum(shingles, 1), 0))
+        out.append(equal >= AT_LEAST * used - SIGMAS * spread - 1e-9)
+    return np.concatenate(out) if out else np.empty(0, dtype=bool)
+
+
+def cells(h: np.ndarray) -> np.ndarray:
+    """One octet per cell of the hash space: 0 if no hash is in it, else 1 to 255 from the smallest one."""
+    out = np.zeros(CELLS, dtype=np.uint8)
+    if len(h):
+        h = np.sort(h)
+        cell = (h >> np.uint64(64 - (CELLS - 1).bit_length())).astype(np.int64)
+        first = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]])
+        out[cell[first]] = 1 + (h[first] & np.uint64(0xFFFF)) % np.uint64(255)
+    return out
 
 
 def min_hashes(h: np.ndarray) -> np.ndarray:
@@ -133,6 +157,40 @@ def bk_forest(shard: np.ndarray, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return root, parent, label
 
 
+def _merged(comp: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Local roots after the links (a, b)."""
+    while True:
+        ra, rb = comp[a], comp[b]
+        differ = ra != rb
+        if not differ.any():
+            return comp
+        a, b, ra, rb = a[differ], b[differ], ra[differ], rb[differ]
+        np.minimum.at(comp, np.maximum(ra, rb), np.minimum(ra, rb))
+        while not np.array_equal(comp, up := comp[comp]):
+            comp = up
+
+
+def _alike_pairs(q: np.ndarray, node: np.ndarray, comp: np.ndarray, sketch: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of the pairs (q, node), alike ones that join every q to each component it belongs to.
+
+    The pairs of one q with one component are tried in growing steps, and no more once one of them is alike: a group of many
+    near copies costs about one comparison per member, and no link between components is lost.
+    """
+    a, b, step = [], [], 1
+    while len(q):
+        key = comp[q] * len(comp) + comp[node]
+        order = np.argsort(key, kind="stable")
+        q, node, key = q[order], node[order], key[order]
+        new = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+        nth = np.arange(len(key)) - np.repeat(new, np.diff(np.r_[new, len(key)]))
+        now = np.flatnonzero(nth < step)
+        hit = now[_alike(sketch, q[now], node[now])]
+        a.append(q[hit]), b.append(node[hit])
+        rest = (nth >= step) & ~np.isin(key, key[hit])
+        q, node, step = q[rest], node[rest], step * 4
+    return (np.concatenate(a), np.concatenate(b)) if a else (q, node)
+
+
 def forest_links(shard: np.ndarray, fp: np.ndarray, radius: int, sketch: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Spanning forest (row, row of its local root) of all pairs within ``radius`` in a shard."""
     n = len(fp)
@@ -147,24 +205,17 @@ def forest_links(shard: np.ndarray, fp: np.ndarray, radius: int, sketch: np.ndar
         while q.size:
             d = np.bitwise_count(fp[q] ^ fp[node]).astype(np.int64)
             near = np.flatnonzero((d <= radius) & (comp[q] != comp[node]))
-            if sketch is not None:
-                near = near[np.concatenate([_alike(sketch[q[x]], sketch[node[x]]) for x in np.array_split(near, len(near) // SEARCH_ROWS + 1)])]
-            found.append((q[near], node[near]))
+            if sketch is None:
+                found.append((q[near], node[near]))
+            else:
+                comp = _merged(comp, *_alike_pairs(q[near], node[near], comp, sketch))
             count = begin[node + 1] - begin[node]
             at = np.repeat(begin[node] - np.r_[0, np.cumsum(count)[:-1]], count) + np.arange(count.sum())
             q, d, node = np.repeat(q, count), np.repeat(d, count), kids[at]
             follow = (np.abs(label[node] - d) <= radius) & (node < q)  # a subtree's rows all come after its root
             q, node = q[follow], node[follow]
-        a, b = np.concatenate([x for x, _ in found]), np.concatenate([x for _, x in found])
-        while True:
-            ra, rb = comp[a], comp[b]
-            differ = ra != rb
-            if not differ.any():
-                break
-            a, b, ra, rb = a[differ], b[differ], ra[differ], rb[differ]
-            np.minimum.at(comp, np.maximum(ra, rb), np.minimum(ra, rb))
-            while not np.array_equal(comp, up := comp[comp]):
-                comp = up
+        if found:
+            comp = _merged(comp, np.concatenate([x for x, _ in found]), np.concatenate([x for _, x in found]))
     rows = np.flatnonzero(comp != np.arange(n))
     return rows, comp[rows]
 
@@ -178,13 +229,13 @@ def _forest(radius: int, sketched: bool = False):
             ends = np.unique(np.stack([node[a], node[b]], axis=1), axis=0) if len(a) else np.empty((0, 2), dtype=np.int64)
             return pa.RecordBatch.from_arrays([pa.array(ends[:, 0]), pa.array(ends[:, 1])], names=["u", "v"])
 
-        held: list[np.ndarray | None] = [np.empty(0, dtype=np.int64), np.empty(0, dtype=np.uint64), np.empty(0, dtype=np.int64), np.empty((0, MINIMA), dtype=np.uint8) if sketched else None]
+        held: list[np.ndarray | None] = [np.empty(0, dtype=np.int64), np.empty(0, dtype=np.uint64), np.empty(0, dtype=np.int64), np.empty((0, CELLS), dtype=np.uint8) if sketched else None]
         for b in batches:
             new = [b.column(0).to_numpy(), b.column(1).to_numpy().view(np.uint64), b.column(2 if sketched else 1).to_numpy()]
             if sketched:
-                new.append(np.frombuffer(b"".join(b.column(3).to_pylist()), dtype=np.uint8).reshape(-1, MINIMA))
+                new.append(np.frombuffer(b"".join(b.column(3).to_pylist()), dtype=np.uint8).reshape(-1, CELLS))
             held = [np.concatenate([x, y]) for x, y in zip(held, new, strict=False)] + [None] * (not sketched)
-            if len(held[0]) >= FOREST_ROWS and (cut := int(np.searchsorted(held[0], held[0][-1]))):
+            if len(held[0]) >= (SKETCH_ROWS if sketched else FOREST_ROWS) and (cut := int(np.searchsorted(held[0], held[0][-1]))):
                 yield links(*(None if x is None else x[:cut] for x in held))
                 held = [None if x is None else x[cut:] for x in held]
         if len(held[0]):
@@ -270,8 +321,8 @@ def with_sketch(docs: DataFrame, width: int) -> DataFrame:
                 h = shingle_hashes(text.as_py() or b"", width)
                 low = min_hashes(h)
                 fps.append(simhash_of(h))
-                sketches.append(low.astype(np.uint8).tobytes())
-                nodes.append(xxhash.xxh64_intdigest(fps[-1].to_bytes(8, "little") + low.tobytes()))
+                sketches.append(cells(h).tobytes())
+                nodes.append(xxhash.xxh64_intdigest(fps[-1].to_bytes(8, "little") + low.tobytes() + sketches[-1]))
                 keys.append([xxhash.xxh64_intdigest(low[2 * k : 2 * k + 2].tobytes(), k) for k in range(KEYS)])
             long = [pa.array(np.array(x, dtype=np.uint64).view(np.int64)) for x in (fps, nodes)]
             flat = pa.array(np.array(keys, dtype=np.uint64).ravel().view(np.int64))

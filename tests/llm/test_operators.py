@@ -287,6 +287,42 @@ def test_forest_links():
     assert (label == components(fp, 2)).all()
 
 
+def test_sketched_links():
+    """Against all pairs: the same components, whatever order the comparisons take."""
+    rng = np.random.default_rng(11)
+    shingles = []
+    for _ in range(12):
+        base = rng.integers(0, 2**64, int(rng.integers(1, 3000)), dtype=np.uint64)
+        for _ in range(25):
+            own = rng.random(len(base)) < rng.choice([0.02, 0.1, 0.25])
+            shingles.append(np.where(own, rng.integers(0, 2**64, len(base), dtype=np.uint64), base))
+    shingles += [np.empty(0, dtype=np.uint64)] * 2
+    sketch = np.stack([simhash.cells(h) for h in shingles])
+    fp = np.array([simhash.simhash_of(h) for h in shingles], dtype=np.uint64)
+    n = len(fp)
+    x, y = np.triu_indices(n, 1)
+    alike = simhash._alike(sketch, x, y) & (np.bitwise_count(fp[x] ^ fp[y]) <= 18)
+    want = simhash._merged(np.arange(n), x[alike], y[alike])
+    rows, roots = simhash.forest_links(np.zeros(n, dtype=np.int64), fp, 18, sketch)
+    got = np.arange(n)
+    got[rows] = roots
+    assert np.array_equal(got, want)
+
+
+def test_sketch_is_near_exact_jaccard():
+    """Clearly above 0.8 is alike, clearly below is not; texts of few shingles are decided all but exactly."""
+    rng = np.random.default_rng(12)
+    for size, slack in ((5, 0.0), (40, 0.03), (400, 0.06), (20_000, 0.06)):
+        for similarity in (0.4, 0.6, 0.7, 0.8, 0.85, 0.9, 1.0):
+            shared = round(size * 2 * similarity / (1 + similarity))
+            h = rng.integers(0, 2**64, 2 * size, dtype=np.uint64)
+            a, b = h[:size], np.concatenate([h[:shared], h[size : 2 * size - shared]])
+            exact = shared / (2 * size - shared)
+            is_ = bool(simhash._alike(np.stack([simhash.cells(a), simhash.cells(b)]), np.array([0]), np.array([1]))[0])
+            if exact >= 0.8 + slack or exact < 0.8 - slack:
+                assert is_ == (exact >= 0.8), (size, exact)
+
+
 def test_hamming_links(spark):
     rng = np.random.default_rng(7)
     start = rng.integers(0, 2**63, 60, dtype=np.uint64)
