@@ -334,9 +334,16 @@ def with_sketch(docs: DataFrame, width: int) -> DataFrame:
 
 
 def shingle_links(rows: DataFrame) -> DataFrame:
-    """(u, v): forest edges between nodes of ``with_sketch`` rows that are alike."""
-    nodes = rows.groupBy("node").agg(F.first("fp").alias("fp"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch"))
-    shards = nodes.select(F.explode("keys").alias("shard"), "fp", "node", "sketch").repartition("shard").sortWithinPartitions("shard", "node")
+    """(u, v): forest edges between nodes of ``with_sketch`` rows that are alike.
+
+    A shard of one node has no edge: keys are counted first, as small rows, and a sketch travels only to the shards that its
+    node shares with another one.
+    """
+    keys = rows.groupBy("node").agg(F.first("keys").alias("keys")).select(F.explode(F.array_distinct("keys")).alias("shard"), F.col("node").alias("_n"))
+    shared = keys.groupBy(F.col("shard").alias("_s")).agg(F.count(F.lit(1)).alias("_c")).filter("_c > 1")
+    places = keys.join(shared, F.col("shard") == F.col("_s"), "left_semi")
+    nodes = rows.groupBy("node").agg(F.first("fp").alias("fp"), F.first("sketch").alias("sketch"))
+    shards = places.join(nodes, F.col("node") == F.col("_n")).select("shard", "fp", "node", "sketch").repartition("shard").sortWithinPartitions("shard", "node")
     return shards.mapInArrow(_forest(WIDE_RADIUS, sketched=True), "u long, v long")
 
 
