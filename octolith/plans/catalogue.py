@@ -347,7 +347,7 @@ def _(spark, d):
 
 @query("line_raster")
 def _(spark, d):
-    edges = view.box_edges(_lines_tree(spark, d)[1].filter("level <= 2"), CUBE).withColumn("color", F.lit(0x0000FF00))
+    edges = view.box_edges(_lines_tree(spark, d)[1], CUBE).withColumn("color", F.lit(0x0000FF00))
     return raster.nearest(raster.line_fragments(edges, DEEP))
 
 

@@ -240,6 +240,17 @@ def test_storage(spark):
     assert storage.drop_stored(spark) == 1
 
 
+def test_line_raster_draws_all_nodes(spark):
+    from octolith.plans import catalogue
+
+    _, nodes = catalogue._lines_tree(spark, SF)
+    assert nodes.filter("level > 2").count() > 0
+    edges = view.box_edges(nodes, catalogue.CUBE).withColumn("color", F.lit(0x0000FF00))
+    want = {tuple(r) for r in raster.nearest(raster.line_fragments(edges, catalogue.DEEP)).select("px", "py", "depth", "color").collect()}
+    got = {tuple(r) for r in __spark_entry__.queries()["line_raster"](spark, SF).select("px", "py", "depth", "color").collect()}
+    assert got == want
+
+
 CHEAP = ["lattice_project", "morton_code", "cell_counts", "image_nearest", "image_hqs", "quantize", "bitfields", "cell_intervals", "intervals_topk", "interval_union", "cell_coarsen_step", "range_query", "circle_query", "vector_ops", "string_pad_split"]
 
 
