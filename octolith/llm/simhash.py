@@ -15,10 +15,10 @@ parent; a search follows only the edges within the radius):
 * Components: alternating large-star and small-star rounds over the forest edges, each round
   written to the shared folder.
 
-``keep_one`` is for word shingles at a similarity of 0.8.  There, copies at the limit differ in about 10 of 64
-bits and rarely in more than 14, a radius at which no bits need be equal.  So its shards are keyed by six pairs of
+``keep_one`` is for word shingles at a similarity of 0.8.  Its fingerprints count each distinct shingle once, as the similarity
+does.  Copies at the limit differ in about 10 to 12 of 64 bits, a radius at which no bits need be equal.  So its shards are keyed by six pairs of
 minimum hashes of the shingle set (a pair of documents at 0.8 shares a key with probability 0.998), the BK-trees
-in them are searched with a radius of 18 bits, and an edge counts if the sketches estimate a Jaccard similarity of
+in them are searched with a radius of 28 bits (far in the tail of that binomial), and an edge counts if the sketches estimate a Jaccard similarity of
 ``AT_LEAST`` or more, less ``SIGMAS`` standard errors.  A sketch cuts the hash space into ``CELLS`` cells and keeps 8 bits of
 the smallest hash in each: short texts have nearly all their shingles in it, so their estimate is nearly exact.
 
@@ -46,7 +46,7 @@ FOREST_ROWS = 400_000
 #: Pairs (query, node) that a search holds at once, at the start of each chunk of queries.
 SEARCH_ROWS = 100_000
 
-KEYS, WIDE_RADIUS, AT_LEAST, SIGMAS = 6, 18, 0.8, 2.0
+KEYS, WIDE_RADIUS, AT_LEAST, SIGMAS = 6, 28, 0.8, 2.0
 MINIMA = 2 * KEYS
 CELLS = 1024
 #: Pairs of sketches that are compared at once, and rows with sketches that are turned into trees at once.
@@ -319,6 +319,7 @@ def with_sketch(docs: DataFrame, width: int) -> DataFrame:
             fps, nodes, keys, sketches = [], [], [], []
             for text in b.column(2):
                 h = shingle_hashes(text.as_py() or b"", width)
+                h = np.unique(h)  # a set: repeats would outweigh the other shingles in the fingerprint
                 low = min_hashes(h)
                 fps.append(simhash_of(h))
                 sketches.append(cells(h).tobytes())

@@ -359,6 +359,20 @@ def test_keep_one(docs, spark, empty):
     assert simhash.keep_one(empty).count() == 0
 
 
+def test_keep_one_with_repeats(spark):
+    """Copies with their own line, repeated: the sets of shingles are 0.8 alike or more, whatever the repeats."""
+    rng = random.Random(21)
+    made, stay = [], []
+    for k in range(20):
+        common = " ".join(words(rng, 300, "abcdefghijklmnop").split())
+        for j in range(2):
+            made.append((2 * k + j, common + (" " + words(rng, 7, "abcdefghijklmnop")) * 20))
+        a, b = (set(simhash.shingle_hashes(t.encode(), 5).tolist()) for _, t in made[-2:])
+        assert len(a & b) >= 0.8 * len(a | b)
+        stay.append(2 * k)
+    assert sorted(r.doc_id for r in simhash.keep_one(spark.createDataFrame(made, "doc_id long, text string")).collect()) == stay
+
+
 # URLs -------------------------------------------------------------------------------------------------
 
 
