@@ -2,9 +2,11 @@
 
 The tree has a fixed depth: a line goes down by its number of tokens and by its first ``LEAD`` tokens, where
 a token with a digit counts as a variable field, ``<*>``.  In a leaf, lines with equal masked tokens
-share a template.  A leaf with several templates gets one generalised template too: its tokens are cut
-into up to ``PARTS`` parts (single tokens in short lines), each part takes its commonest value, and lines that agree
-with it in at least ``SIMILAR`` of the parts belong to it; the parts that differ are its variable fields.
+share a template.  A leaf with several templates gets generalised ones too, as many as recur, in rounds over groups of its lines (first the
+whole leaf): each place takes its commonest token, and lines that agree with it in at least ``SIMILAR`` of the places
+belong to it if they recur; the places that differ are its variable fields.  The other lines are dealt into smaller groups by their token at
+one place, the one with the fewest lines whose token there is rare in the group; lines with a rare token stay together.  Every round makes one more
+place of a group constant or all rare, so the rounds end by themselves: when no group is left that could recur.
 
 A template that recurs in at least ``MIN_DOCS`` documents is dropped everywhere but in the first of
 them (smallest doc_id, then text hash), so of a group of copies one document keeps its lines.
@@ -20,12 +22,13 @@ count as one document and get the same result.  Empty tables give empty results.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from octolith.llm.common import materialize, table
 
-LEAD, PARTS, SIMILAR, MIN_DOCS, MIN_TOKENS = 3, 8, 0.8, 3, 3
+LEAD, SIMILAR, MIN_DOCS, MIN_TOKENS = 3, 0.8, 3, 3
+EXACT_DOCS, SHORT_DOCS = 3, 10
 _SPACE = r"\x20\x09-\x0D"
 #: A whole token with a digit; possessive, so that it takes linear time.
 _VARIABLE = rf"(?<![^{_SPACE}])[^{_SPACE}0-9]*+[0-9][^{_SPACE}]*+"
@@ -38,45 +41,77 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 
 def parse_lines(docs: DataFrame) -> DataFrame:
-    """(_k1, _k2, pos, leaf, h, parts): the way of each line down the tree and its parts' hashes."""
+    """(_k1, _k2, pos, leaf, h, exact, parts): the way of each line down the tree, a hash of its words (null if as h: no digit) and 16 bits of each token's hash."""
     line = F.col("line")
     masked = F.when(line.rlike("[0-9]"), F.regexp_replace(line, _VARIABLE, "<*>")).otherwise(line)
+
+    def words(x: Column) -> Column:
+        return F.array_remove(F.split(x, f"[{_SPACE}]+"), "")
+
     rows = docs.select(*_KEYS, F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    rows = rows.select(*_KEYS, "pos", F.array_remove(F.split(masked, f"[{_SPACE}]+"), "").alias("t")).withColumn("n", F.size("t"))
-    rows = rows.filter(F.col("n") >= MIN_TOKENS).withColumn("m", F.least("n", F.lit(PARTS)))
-    cut = "CAST(i * CAST(n AS BIGINT) DIV m AS INT)"
-    upto = cut.replace("i *", "(i + 1) *")
-    parts = F.expr(f"transform(sequence(0, m - 1), i -> hash(array_join(slice(t, {cut} + 1, {upto} - {cut}), ' ')))")
-    return rows.select(*_KEYS, "pos", F.xxhash64("n", F.slice("t", 1, LEAD)).alias("leaf"), F.xxhash64(F.array_join("t", " ")).alias("h"), parts.alias("parts"))
+    rows = rows.select(*_KEYS, "pos", "line", words(masked).alias("t")).withColumn("n", F.size("t")).filter(F.col("n") >= MIN_TOKENS)
+    exact = F.when(line.rlike("[0-9]"), F.xxhash64(F.array_join(words(line), " ")))
+    parts = F.expr(f"CASE WHEN n >= {MIN_TOKENS} THEN transform(t, x -> CAST(shiftright(hash(x), 16) AS SHORT)) END")
+    return rows.select(*_KEYS, "pos", F.xxhash64("n", F.slice("t", 1, LEAD)).alias("leaf"), F.xxhash64(F.array_join("t", " ")).alias("h"), exact.alias("exact"), parts.alias("parts"))
+
+
+def generalised(inside: DataFrame, min_docs: int) -> DataFrame | None:
+    """(leaf, h, gid) of the lines (leaf, h, c, parts) that belong to a generalised template; None if there are no lines."""
+    pool, found = inside.withColumn("g", F.col("leaf")), None
+    while True:
+        votes = pool.select("g", "c", F.posexplode("parts").alias("i", "v")).groupBy("g", "i", "v").agg(F.sum("c").alias("c"), F.count(F.lit(1)).alias("k"))
+        often = F.col("c") >= min_docs
+        places = votes.groupBy("g", "i").agg(
+            F.max(F.struct("c", "v")).alias("top"), F.sum("c").alias("c"), F.sum("k").alias("k"), F.count(F.lit(1)).alias("kinds"),
+            F.sum(F.when(often, 0).otherwise(F.col("c"))).alias("rare"), F.array_sort(F.collect_list(F.when(often, F.col("v")))).alias("often"),
+        )
+        open_ = (F.col("kinds") > 1) & (F.size("often") > 0)
+        plan = places.groupBy(F.col("g").alias("_g")).agg(
+            F.max("c").alias("_c"), F.max("k").alias("_k"), F.array_sort(F.collect_list(F.struct("i", F.col("top.v").alias("v")))).alias("_t"), F.min(F.when(open_, F.struct("rare", "kinds", "i", "often"))).alias("_s")
+        ).filter((F.col("_c") >= min_docs) & (F.col("_k") > 1))
+        agree = F.expr("size(filter(zip_with(parts, _t, (x, y) -> x = y.v), x -> x))")
+        token = F.expr("CASE WHEN array_contains(_s.often, get(parts, _s.i)) THEN get(parts, _s.i) END")
+        split = F.when(F.col("_s").isNotNull(), F.xxhash64("g", F.col("_s.i"), F.coalesce(token.cast("int"), F.lit(1 << 20))))
+        step = pool.join(plan, F.col("g") == F.col("_g")).select("leaf", "h", "c", "parts", "g", (agree >= F.size("parts") * SIMILAR).alias("hit"), split.alias("split"))
+        step = materialize(step, "step")
+        if step.isEmpty():
+            return found
+        groups = step.filter("hit").groupBy(F.col("g").alias("_g")).agg(F.sum("c").alias("_c"), F.count(F.lit(1)).alias("_k")).filter((F.col("_c") >= min_docs) & (F.col("_k") > 1)).select("_g")
+        told = step.join(groups, F.col("g") == F.col("_g"), "left").withColumn("hit", F.col("hit") & F.col("_g").isNotNull())
+        new = told.filter("hit").select("leaf", "h", F.xxhash64("g", F.lit("general")).alias("gid"))
+        found = new if found is None else found.union(new)
+        pool = told.filter("NOT hit AND split IS NOT NULL").select("leaf", "h", "c", "parts", F.col("split").alias("g"))
 
 
 def recurring(lines: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
-    """(leaf, h, gid): lines that belong to a template with enough lines; documents are counted later."""
+    """(leaf, h, gid, long): lines that may recur; gid is null if only lines equal word for word can; documents are counted later."""
     who = F.struct(*_KEYS)
-    templates = lines.groupBy("leaf", "h").agg(F.count(F.lit(1)).alias("c"), F.min(who).alias("a"), F.max(who).alias("z"), F.first("parts").alias("parts"))
+    templates = lines.groupBy("leaf", "h").agg(F.count(F.lit(1)).alias("c"), F.min(who).alias("a"), F.max(who).alias("z"), F.first("parts").alias("parts"), F.count("exact").alias("exact"))
     templates = materialize(templates, "templates")
-    leaves = templates.groupBy("leaf").agg(F.count(F.lit(1)).alias("k"), F.sum("c").alias("c"), F.min("a").alias("a"), F.max("z").alias("z"))
+    long = F.col("parts").isNotNull()
+    leaves = templates.filter(long).groupBy("leaf").agg(F.count(F.lit(1)).alias("k"), F.sum("c").alias("c"), F.min("a").alias("a"), F.max("z").alias("z"))
     crowded = leaves.filter((F.col("k") > 1) & (F.col("c") >= min_docs) & (F.col("a") != F.col("z"))).select(F.col("leaf").alias("_l"))
-    inside = materialize(templates.join(crowded, F.col("leaf") == F.col("_l"), "left_semi").select("leaf", "h", "c", "parts"), "crowded")
-    votes = inside.select("leaf", "c", F.posexplode("parts").alias("i", "v")).groupBy("leaf", "i", "v").agg(F.sum("c").alias("c"))
-    chosen = votes.groupBy("leaf", "i").agg(F.max(F.struct("c", "v")).alias("top"))
-    general = chosen.groupBy(F.col("leaf").alias("_l")).agg(F.array_sort(F.collect_list(F.struct("i", F.col("top.v").alias("v")))).alias("_g"))  # PARTS rows each
-    agree = F.expr("size(filter(zip_with(parts, transform(_g, x -> x.v), (x, y) -> x = y), x -> x))")
-    members = inside.join(general, F.col("leaf") == F.col("_l")).filter(agree >= F.size("parts") * SIMILAR).select("leaf", "h", "c")
-    groups = members.groupBy("leaf").agg(F.sum("c").alias("c"), F.count(F.lit(1)).alias("k")).filter((F.col("c") >= min_docs) & (F.col("k") > 1))
-    members = members.join(groups.select(F.col("leaf").alias("_l")), F.col("leaf") == F.col("_l"), "left_semi").select("leaf", "h", F.xxhash64("leaf", F.lit("general")).alias("gid"))
-    same = templates.filter((F.col("c") >= min_docs) & (F.col("a") != F.col("z"))).select("leaf", "h", F.xxhash64("leaf", "h").alias("gid"))
-    # a line is asked for the generalised template first
-    return members.withColumn("o", F.lit(0)).union(same.withColumn("o", F.lit(1))).groupBy("leaf", "h").agg(F.min(F.struct("o", "gid")).alias("x")).select("leaf", "h", "x.gid")
+    inside = materialize(templates.filter(long).join(crowded, F.col("leaf") == F.col("_l"), "left_semi").select("leaf", "h", "c", "parts"), "crowded")
+    general = generalised(inside, min_docs)
+    # a line is asked for the generalised template first; without digits, an equal template is an equal line
+    same = F.when(long & (F.col("exact") > 0) & (F.col("c") >= min_docs), F.xxhash64("leaf", "h"))
+    rows = templates.select("leaf", "h", same.alias("gid"), long.alias("long"), (F.col("a") != F.col("z")).alias("two"))
+    if general is not None:
+        named = general.select(F.col("leaf").alias("_l"), F.col("h").alias("_h"), F.col("gid").alias("_g"))
+        rows = rows.join(named, (F.col("leaf") == F.col("_l")) & (F.col("h") == F.col("_h")), "left").select("leaf", "h", F.coalesce("_g", "gid").alias("gid"), "long", (F.col("two") | F.col("_g").isNotNull()).alias("two"))
+    return rows.filter("two").drop("two")
 
 
 def dropped_lines(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     """(_k1, _k2, drops): line numbers (from 0) that go, for each document that loses any."""
     lines = materialize(parse_lines(_keyed(docs)), "lines")
-    found = recurring(lines, min_docs).select(F.col("leaf").alias("_l"), F.col("h").alias("_h"), "gid")
-    hits = materialize(lines.join(found, (F.col("leaf") == F.col("_l")) & (F.col("h") == F.col("_h"))).select(*_KEYS, "pos", "gid"), "hits")
-    by_doc = hits.select("gid", *_KEYS).distinct()
-    kept = by_doc.groupBy("gid").agg(F.count(F.lit(1)).alias("docs"), F.min(F.struct(*_KEYS)).alias("first")).filter(F.col("docs") >= min_docs)
+    found = recurring(lines, min_docs).select(F.col("leaf").alias("_l"), F.col("h").alias("_h"), "gid", "long")
+    hits = lines.join(found, (F.col("leaf") == F.col("_l")) & (F.col("h") == F.col("_h")))
+    equal = F.struct(F.xxhash64("leaf", F.coalesce("exact", "h"), F.lit("equal")).alias("gid"), F.when(F.col("long"), EXACT_DOCS).otherwise(SHORT_DOCS).alias("least"))
+    groups = F.array_compact(F.array(F.when(F.col("gid").isNotNull(), F.struct("gid", F.lit(min_docs).alias("least"))), equal))
+    hits = materialize(hits.select(*_KEYS, "pos", F.explode(groups).alias("x")).select(*_KEYS, "pos", "x.*"), "hits")
+    by_doc = hits.select("gid", "least", *_KEYS).distinct()
+    kept = by_doc.groupBy("gid").agg(F.count(F.lit(1)).alias("docs"), F.first("least").alias("least"), F.min(F.struct(*_KEYS)).alias("first")).filter("docs >= least").drop("least")
     drop = hits.join(kept.withColumnRenamed("gid", "_g"), F.col("gid") == F.col("_g")).filter(F.struct(*_KEYS) != F.col("first"))
     return drop.groupBy(*_KEYS).agg(F.array_sort(F.collect_set("pos")).alias("drops"))
 

@@ -146,6 +146,18 @@ def test_line_dedup_generalises(spark):
     assert got == {0: 0, 1: 1, 2: 1, 3: 1}
 
 
+def test_line_dedup_several_templates(spark):
+    """Two templates in a leaf, three in one whose commonest tokens fit none of them, and two variable fields in 13 tokens."""
+    name = lambda k: "n" + "".join(chr(97 + int(c)) for c in str(k))
+    forms = ["the server has refused a login of {} today"] * 12 + ["the server has received one file from {} yesterday"] * 6
+    forms += [f"we saw that {x} {x}a {x}b {x}c {{}} {x}d" for x in "pqr" for _ in range(5)]
+    forms += ["dear {} we are glad to tell you that {} has won it".replace("dear {}", "oh my dear {}")] * 8
+    made = [(k, f.format(name(k), name(k + 500))) for k, f in enumerate(forms)]
+    got = {r.doc_id: r.n_dropped for r in linededup.line_report(spark.createDataFrame(made, "doc_id long, text string")).collect()}
+    firsts = {forms.index(f) for f in forms}
+    assert got == {k: int(k not in firsts) for k in range(len(forms))}
+
+
 # fingerprints -----------------------------------------------------------------------------------------
 
 
