@@ -10,7 +10,8 @@ place of a group constant or all rare, so the rounds end by themselves: when no
 
 A template that recurs in at least ``MIN_DOCS`` documents is dropped everywhere but in the first of
 them (smallest doc_id, then text hash), so of a group of copies one document keeps its lines.
-Lines of fewer than ``MIN_TOKENS`` tokens, blank lines among them, always stay.
+Lines equal word for word, numbers too, are dropped so from ``EXACT_DOCS`` documents on; lines of fewer than ``MIN_TOKENS`` tokens only
+by such equality, from ``SHORT_DOCS`` documents on.  Blank lines always stay.
 
 Lines travel as hashes, never as text; documents are shuffled once, to rebuild the texts.  Counts are
 partial aggregations; a template in every document is one row after them.
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 from octolith.llm.common import materialize, table
 
 LEAD, SIMILAR, MIN_DOCS, MIN_TOKENS = 3, 0.8, 3, 3
-EXACT_DOCS, SHORT_DOCS = 3, 10
+EXACT_DOCS, SHORT_DOCS = 2, 10
 _SPACE = r"\x20\x09-\x0D"
 #: A whole token with a digit; possessive, so that it takes linear time.
 _VARIABLE = rf"(?<![^{_SPACE}])[^{_SPACE}0-9]*+[0-9][^{_SPACE}]*+"
@@ -49,7 +50,7 @@ def parse_lines(docs: DataFrame) -> DataFrame:
         return F.array_remove(F.split(x, f"[{_SPACE}]+"), "")
 
     rows = docs.select(*_KEYS, F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    rows = rows.select(*_KEYS, "pos", "line", words(masked).alias("t")).withColumn("n", F.size("t")).filter(F.col("n") >= MIN_TOKENS)
+    rows = rows.select(*_KEYS, "pos", "line", words(masked).alias("t")).withColumn("n", F.size("t")).filter("n > 0")
     exact = F.when(line.rlike("[0-9]"), F.xxhash64(F.array_join(words(line), " ")))
     parts = F.expr(f"CASE WHEN n >= {MIN_TOKENS} THEN transform(t, x -> CAST(shiftright(hash(x), 16) AS SHORT)) END")
     return rows.select(*_KEYS, "pos", F.xxhash64("n", F.slice("t", 1, LEAD)).alias("leaf"), F.xxhash64(F.array_join("t", " ")).alias("h"), exact.alias("exact"), parts.alias("parts"))

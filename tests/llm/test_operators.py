@@ -158,6 +158,15 @@ def test_line_dedup_several_templates(spark):
     assert got == {k: int(k not in firsts) for k in range(len(forms))}
 
 
+def test_line_dedup_equal_lines(spark):
+    """Equal lines go from two documents on, numbers included; a short line only if many documents have it."""
+    passage = "a passage of some words that only two of the documents hold"
+    made = [(1, f"{passage}\npage 1 of it"), (2, f"{passage}\npage 2 of it\nroom 7 is shut\nyes"), (3, "room 7 is shut\nyes")]
+    made += [(k, "Les.\n\nAnd ornd.") for k in range(10, 22)]
+    got = {r.doc_id: r.dropped for r in linededup.line_report(spark.createDataFrame(made, "doc_id long, text string")).collect()}
+    assert got == {1: "", 2: "0", 3: "0", 10: "", **{k: "0,2" for k in range(11, 22)}}
+
+
 # fingerprints -----------------------------------------------------------------------------------------
 
 
