@@ -2,7 +2,7 @@
 
 Base spans come from four fixed patterns (leftmost, non-overlapping per kind; failing matches are
 dropped).  They always stay.  The method looks for more: identifiers and credentials that no fixed
-pattern names.  Candidates are runs of letters, digits and joining marks with some digits.  Labelers vote
+pattern names.  Candidates are runs of letters, digits and joining marks, of any length, with a digit anywhere.  Labelers vote
 1 (personal), -1 (not) or 0 (no opinion) on each:
 
 * regex: shapes of bank, tax, social-security and telephone numbers and of keys; plain numbers and versions vote against;
@@ -40,15 +40,17 @@ PATTERNS = {
 }
 #: What a text must hold for a pattern to be tried on it.
 NEEDS = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9](?:[\x20-]?[0-9]){13}", "phone": r"\+[0-9]"}
-#: The first run holds a digit: words are not looked at further.
-CANDIDATE = r"(?<![A-Za-z0-9])(?=[A-Za-z]*+[0-9])[A-Za-z0-9]++(?:[._:/-][A-Za-z0-9]++)*+"
-CANDIDATE_NEEDS = r"[0-9][A-Za-z0-9._:/-]{0,3}[0-9]"
-LEAST, LONGEST, LEAST_DIGITS = 7, 80, 4
+CANDIDATE_NEEDS = "[0-9]"
+LEAST = 7
 AROUND = 24
 
 NAMES_BEFORE = ("password", "passwd", "pwd", "token", "key", "apikey", "secret", "ssn", "iban", "passport", "account", "konto", "cuenta", "compte", "phone", "tel", "mobile", "fax", "id", "licence", "license", "login", "user", "pin", "dni", "nif")
 UNITS_AFTER = ("km", "kg", "m", "cm", "mm", "g", "usd", "eur", "euro", "euros", "dollars", "percent", "pages", "years", "jahre", "ans", "bytes", "mb", "gb")
 COUNTED_BEFORE = ("page", "chapter", "version", "figure", "fig", "table", "year", "isbn", "doi", "issue", "vol", "section", "item")
+#: Whole joined tokens (without a name and colon in front), of which some run holds a digit: words are not looked at further.
+#: A match begins where a joined token does, so each is scanned once.
+_NAME, _BEGIN = f"(?i:{'|'.join(NAMES_BEFORE)})", r"(?<![A-Za-z0-9])(?<![A-Za-z0-9][._:/-])"
+CANDIDATE = rf"(?:(?<={_BEGIN}{_NAME}:)|{_BEGIN}(?!{_NAME}:[A-Za-z0-9]))(?=[A-Za-z]*+(?:[._:/-][A-Za-z]++)*+[._:/-]?[0-9])[A-Za-z0-9]++(?:[._:/-][A-Za-z0-9]++)*+"
 
 EM_ROUNDS, SURE, FEATURE_ROWS = 100, 0.9, 400
 LABELERS = ("v_regex", "v_gazetteer", "v_context", "v_texture")
@@ -88,7 +90,7 @@ def base_spans(docs: DataFrame) -> DataFrame:
     df = df.withColumn("card", F.expr(f"filter(card, x -> length({digits}) BETWEEN 14 AND 19)"))
     df = df.withColumn("card", F.expr(f"filter(card, x -> {_luhn(digits)})"))
     df = df.withColumn("phone", F.expr("filter(phone, x -> length(translate(x.m, '+ ().-', '')) BETWEEN 10 AND 15)"))
-    fits = f"length(x.m) BETWEEN {LEAST} AND {LONGEST} AND length(translate(x.m, '0123456789', '')) <= length(x.m) - {LEAST_DIGITS}"
+    fits = f"length(x.m) >= {LEAST}"
     free = " AND ".join(f"NOT exists({k}, y -> y.s < x.e AND x.s < y.e)" for k in PATTERNS)
     df = df.withColumn("candidates", F.expr(f"filter(candidates, x -> {fits})"))
     return df.withColumn("candidates", F.expr(f"filter(candidates, x -> {free})"))
