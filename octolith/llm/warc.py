@@ -33,6 +33,7 @@ from pyspark.sql import functions as F
 from octolith.llm.common import materialize, scratch_path, table
 
 REVISIT_BYTES = 1000
+#: Octets that a record's headers are first looked for in; longer ones are read on.
 CHUNK, HEADER_BYTES = 1 << 20, 1 << 16
 VERSION, MAGIC, END = b"WARC/1.1\r\n", b"\x1f\x8b\x08", b"\r\n\r\n"
 _VERSION_LINE = re.compile(rb"WARC/1\.[01]\r\n")
@@ -105,13 +106,19 @@ class _Window:
 
 def parse(have, data) -> tuple[int, Entry] | str:
     """The record at the start: its length and itself, or what is wrong. have(n): whether n octets are there; data(): what is."""
-    have(HEADER_BYTES)
+    size = HEADER_BYTES
+    have(size)
     line = _VERSION_LINE.match(data())
     if not line:
         return "no version line"
-    stop = data().find(END, line.end() - 2, HEADER_BYTES)
-    if stop < 0:
-        return "no end of headers"
+    at = line.end() - 2
+    while (stop := data().find(END, at)) < 0:
+        # a long header: twice as many octets each time, up to the next record or the end
+        if _VERSION_LINE.search(data(), max(at, line.end())) or len(data()) < size:
+            return "no end of headers"
+        at = max(at, len(data()) - len(VERSION))
+        size = 2 * len(data())
+        have(size)
     headers = {}
     for x in data()[line.end() : stop].split(b"\r\n"):
         name, colon, value = x.partition(b":")
@@ -301,7 +308,12 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = materialize(write_archives(table(spark, sf_dir, "pages"), scratch_path(spark, "warc")), "warc-files")
     n = max(1, spark.sparkContext.defaultParallelism)
     found = read_archives(files.repartition(4 * n))
-    return found.filter(F.col("problem").isNull()).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    found = materialize(found.select("problem", "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"), "warc-records")
+    written = files.agg(F.coalesce(F.sum("records"), F.lit(0))).first()[0]
+    read, gaps = found.agg(F.count(F.when(F.col("problem").isNull(), 1)), F.count("problem")).first()
+    if gaps or read != written:
+        raise RuntimeError(f"{written} records written, {read} read back, {gaps} gaps")
+    return found.drop("problem")
 
 
 ORACLE = """

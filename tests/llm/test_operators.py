@@ -470,6 +470,23 @@ def test_archives(spark, tmp_path):
     assert warc.write_archives(table.limit(0), f"file://{tmp_path}/e").count() == 0
 
 
+def test_long_urls(spark, tmp_path, monkeypatch):
+    """Headers of over 64 KB, in plain files too; op9 fails if a record is not read back."""
+    big = "x" * 2000
+    pages = [(1, "http://a/" + "漢" * 9000, big), (2, "data:," + "y" * 3_000_000, big), (3, "u", big)]
+    spark.createDataFrame(pages, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = {r.page_id: (r.record_type, r.refers_to) for r in warc.op9_warc(spark, str(tmp_path)).collect()}
+    assert got == {1: ("revisit", 3), 2: ("revisit", 3), 3: ("response", None)}
+    plain = b"".join(warc.record(k, url, b"p", hashlib.sha1(b"p").hexdigest(), None, False) for k, url, _ in pages)
+    found = list(warc.salvage(io.BytesIO(plain), False))
+    assert [e.problem for e in found] == [None] * 3 and [warc._page(e.headers["warc-record-id"]) for e in found] == [1, 2, 3]
+    cut = list(warc.salvage(io.BytesIO(b"WARC/1.1\r\n" + b"z" * 200_000 + plain), False))
+    assert [bool(e.problem) for e in cut] == [True, False, False, False]
+    monkeypatch.setattr(warc, "record", lambda *a: b"junk")
+    with pytest.raises(RuntimeError, match="3 records written"):
+        warc.op9_warc(spark, str(tmp_path))
+
+
 # exact copies -----------------------------------------------------------------------------------------
 
 
