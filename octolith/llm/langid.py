@@ -6,8 +6,11 @@ back-off weights; a lookup is a binary search.  The language of the lowest cross
 character wins; a document is rejected when even that lies above a limit calibrated on documents
 that the models have not seen.
 
-Learning: the ``MOST_LANGS`` commonest languages, up to ``per_lang`` documents of each (``SAMPLE_CHARS`` characters at most), the
-ones with the smallest hash of their doc_id; that bound fits the models, everything else reads whole
+Every letter of the sample is a symbol of its own: a symbol has as many bits as that takes, up to ``MOST_BITS`` (beyond, rare letters share
+symbols by their hash).
+
+Learning: the ``MOST_LANGS`` commonest languages, up to ``per_lang`` documents of each (of longer ones a window of ``SAMPLE_CHARS`` characters
+at a place given by the hash), the ones with the smallest hash of their doc_id; that bound fits the models, everything else reads whole
 texts of all documents.  A fifth of the sample only calibrates.
 
 Nulls, and texts without a letter: language ``und``, score 0, rejected.  Repeated rows get equal
@@ -30,8 +33,11 @@ from pyspark.sql import functions as F
 
 from octolith.llm.common import table
 
-ORDER, SYMBOL_BITS = 4, 6
-SYMBOLS = 1 << SYMBOL_BITS  #: 0: any other letter, 1: what stands between words, 2...: the sample's commonest letters
+ORDER = 4
+#: Bits of a symbol, at least and at most.  Symbols are 0: a letter that the sample lacks, 1: what stands between words, 2...: the sample's letters
+SYMBOL_BITS, MOST_BITS = 6, 16
+#: Looked-up values (n-grams times languages) that a worker keeps; beyond, it begins anew.
+MEMO_VALUES = 1 << 23
 PER_LANG, SAMPLE_CHARS, MOST_LANGS = 400, 20_000, 500
 CHUNK_CHARS = 2_000_000
 UNDECIDED = "und"
@@ -47,8 +53,9 @@ def held_out() -> Column:
 def labelled_sample(docs: DataFrame, per_lang: int = PER_LANG) -> list[tuple[str, str]]:
     """(lang, text) of a bounded, repeatable sample of labelled documents that aren't held out."""
     length = F.char_length("text")
-    rows = docs.select("doc_id", "lang", "text").filter(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out() & (length > 0) & (length <= SAMPLE_CHARS))
+    rows = docs.select("doc_id", "lang", "text").filter(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out() & (length > 0))
     hashed = rows.withColumn("_h", F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(1 << 32)))
+    begin = F.pmod(F.xxhash64("doc_id", F.lit("window")), F.greatest(length - SAMPLE_CHARS, F.lit(0)) + 1).cast("int") + 1
     counts = {r.lang: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGS).collect()}
     if not counts:
         return []
@@ -56,7 +63,7 @@ def labelled_sample(docs: DataFrame, per_lang: int = PER_LANG) -> list[tuple[str
     most = F.create_map(*[F.lit(x) for lang, n in sorted(counts.items()) for x in (lang, 4.0 * per_lang * (1 << 32) / n)])
     near = hashed.filter(F.col("_h") <= F.try_element_at(most, F.col("lang")))
     w = Window.partitionBy("lang").orderBy("_h", "doc_id", F.xxhash64("text"))
-    picked = near.select("lang", "text", "_h", "doc_id").withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= per_lang)
+    picked = near.select("lang", F.substring("text", begin, F.lit(SAMPLE_CHARS)).alias("text"), "_h", "doc_id").withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= per_lang)
     return [(r.lang, r.text) for r in sorted(picked.collect(), key=lambda r: (r.lang, r._r))]
 
 
@@ -68,15 +75,20 @@ def _hash(code: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _packed(symbols: np.ndarray, order: int) -> np.ndarray:
+def _packed(symbols: np.ndarray, order: int, bits: int = SYMBOL_BITS) -> np.ndarray:
     """The n-gram that ends at each position from ORDER-1 on, as one number."""
     n = len(symbols) - ORDER + 1
-    code = np.zeros(max(n, 0), dtype=np.int64)
+    code = np.zeros(max(n, 0), dtype=np.uint64)
     for k in range(order):
-        code = (code << SYMBOL_BITS) | symbols[ORDER - order + k :][: len(code)]
+        code = (code << np.uint64(bits)) | symbols[ORDER - order + k :][: len(code)].astype(np.uint64)
     return code
 
 
+def _last(codes: np.ndarray, order: int, bits: int) -> np.ndarray:
+    """The last ``order`` symbols of packed n-grams."""
+    return codes & np.uint64((1 << (bits * order)) - 1)
+
+
 @dataclass
 class _Lookup:
     keys: np.ndarray
@@ -100,31 +112,33 @@ class KneserNey:
 
     grams: list[_Lookup]
     contexts: list[_Lookup]
+    bits: int = SYMBOL_BITS
 
     @staticmethod
-    def fit(streams: list[np.ndarray]) -> KneserNey:
-        top = np.concatenate([_packed(s, ORDER) for s in streams])
+    def fit(streams: list[np.ndarray], bits: int = SYMBOL_BITS) -> KneserNey:
+        top = np.concatenate([_packed(s, ORDER, bits) for s in streams])
         codes, counts = np.unique(top, return_counts=True)
         grams, contexts = [], []
         for order in range(ORDER, 0, -1):
             n1, n2 = int((counts == 1).sum()), int((counts == 2).sum())
             discount = n1 / (n1 + 2 * n2) if n1 and n2 else 0.5
-            context = codes >> SYMBOL_BITS
+            context = codes >> np.uint64(bits)
             ctx, where = np.unique(context, return_inverse=True)
             total = np.bincount(where, weights=counts)
             kinds = np.bincount(where)
             grams.append(_Lookup.of(codes, np.maximum(counts - discount, 0) / total[where]))
             contexts.append(_Lookup.of(ctx, discount * kinds / total))
-            codes, counts = np.unique(codes & ((1 << (SYMBOL_BITS * (order - 1))) - 1), return_counts=True)
-        return KneserNey(grams, contexts)
+            codes, counts = np.unique(_last(codes, order - 1, bits), return_counts=True)
+        return KneserNey(grams, contexts, bits)
 
     def log_prob(self, codes: np.ndarray) -> np.ndarray:
         """ln P(last symbol | the ones before) of packed ORDER-grams."""
-        p = np.full(len(codes), 1 / SYMBOLS)
+        codes = codes.astype(np.uint64)
+        p = np.full(len(codes), 1 / (1 << self.bits))
         for k in range(ORDER - 1, -1, -1):  # from unigrams up
             order = ORDER - k
-            code = codes & ((1 << (SYMBOL_BITS * order)) - 1)
-            p = self.grams[k].get(code, 0.0) + self.contexts[k].get(code >> SYMBOL_BITS, 1.0) * p
+            code = _last(codes, order, self.bits)
+            p = self.grams[k].get(code, 0.0) + self.contexts[k].get(code >> np.uint64(self.bits), 1.0) * p
         return np.log(p)
 
 
@@ -136,6 +150,7 @@ class LanguageModel:
     mean: np.ndarray  # nats per character, by language
     sigma: np.ndarray  # of one character's nats
     margin: np.ndarray  # calibrated
+    bits: int = SYMBOL_BITS
 
     def streams(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Symbols of all texts, each after ORDER-1 separators, runs of separators as one; where each begins."""
@@ -149,20 +164,41 @@ class LanguageModel:
             keep[begin + k] = True
         return symbols[keep].astype(np.int64), np.cumsum(keep)[begin] - 1
 
+    def _places(self, code: np.ndarray, memo: dict) -> np.ndarray:
+        """The row in the memo's values of each n-gram; row 0 is 0."""
+        if "values" not in memo or memo["values"].size > MEMO_VALUES:
+            memo["values"] = np.zeros((1, len(self.models)))
+            if self.bits == SYMBOL_BITS:
+                memo["place"] = np.zeros(1 << (SYMBOL_BITS * ORDER), dtype=np.int32)
+            else:  # too many n-grams for a table: sorted ones
+                memo["keys"], memo["rows"] = np.empty(0, dtype=np.uint64), np.empty(0, dtype=np.int64)
+        if self.bits == SYMBOL_BITS:
+            at = memo["place"][code]
+            new = np.unique(code[at == 0])
+        else:
+            kinds, where = np.unique(code, return_inverse=True)
+            to = np.searchsorted(memo["keys"], kinds)
+            old = np.zeros(len(kinds), dtype=bool)
+            if len(memo["keys"]):
+                old = memo["keys"][np.minimum(to, len(memo["keys"]) - 1)] == kinds
+            new = kinds[~old]
+        if len(new):
+            rows = np.arange(len(memo["values"]), len(memo["values"]) + len(new))
+            memo["values"] = np.concatenate([memo["values"], np.stack([m.log_prob(new) for m in self.models], axis=1)])
+            if self.bits == SYMBOL_BITS:
+                memo["place"][new] = rows
+            else:
+                memo["keys"], memo["rows"] = np.insert(memo["keys"], to[~old], new), np.insert(memo["rows"], to[~old], rows)
+        if self.bits == SYMBOL_BITS:
+            return memo["place"][code]
+        return memo["rows"][np.searchsorted(memo["keys"], kinds)][where]
+
     def score(self, texts: list[str], memo: dict) -> tuple[np.ndarray, np.ndarray]:
         """Cross-entropies (texts x languages; nats per character) and numbers of scored characters (0: no letter)."""
         symbols, begin = self.streams(texts)
-        code = np.zeros(len(symbols), dtype=np.int64)
-        code[ORDER - 1 :] = _packed(symbols, ORDER)
-        if "place" not in memo:
-            memo["place"], memo["values"] = np.zeros(1 << (SYMBOL_BITS * ORDER), dtype=np.int32), np.zeros((1, len(self.models)))
-        place = memo["place"]
-        at = place[code]
-        if (at == 0).any():
-            new = np.unique(code[at == 0])
-            place[new] = np.arange(len(memo["values"]), len(memo["values"]) + len(new))
-            memo["values"] = np.concatenate([memo["values"], np.stack([m.log_prob(new) for m in self.models], axis=1)])
-            at = place[code]
+        code = np.zeros(len(symbols), dtype=np.uint64)
+        code[ORDER - 1 :] = _packed(symbols, ORDER, self.bits)
+        at = self._places(code, memo)
         scored = np.ones(len(symbols), dtype=bool)
         for k in range(ORDER - 1):
             scored[begin + k] = False
@@ -188,20 +224,21 @@ class LanguageModel:
 def fit(sample: list[tuple[str, str]]) -> LanguageModel:
     languages = sorted({lang for lang, _ in sample})
     kinds, counts = np.unique(np.frombuffer("".join(t.lower() for _, t in sample).encode("utf-32-le"), dtype=np.uint32), return_counts=True)
-    letters = sorted((-c, k) for k, c in zip(kinds.tolist(), counts.tolist(), strict=True) if chr(k).isalpha())[: SYMBOLS - 2]
-    own = {chr(k): s for s, (_, k) in enumerate(letters, start=2)}
-    symbol_of = np.ones(0x110000, dtype=np.uint8)
+    letters = sorted((-c, k) for k, c in zip(kinds.tolist(), counts.tolist(), strict=True) if chr(k).isalpha())
+    bits = min(MOST_BITS, max(SYMBOL_BITS, (len(letters) + 1).bit_length()))
+    own = {chr(k): s if s < 1 << bits else 2 + int(_hash(np.array([k]))[0]) % ((1 << bits) - 2) for s, (_, k) in enumerate(letters, start=2)}
+    symbol_of = np.ones(0x110000, dtype=np.uint16)
     for k in range(0x110000):
         if (c := chr(k)).isalpha():
             symbol_of[k] = own.get(c.lower(), 0)
-    out = LanguageModel(languages, symbol_of, [], *np.zeros((3, len(languages))))
+    out = LanguageModel(languages, symbol_of, [], *np.zeros((3, len(languages))), bits)
     checks = []
     for lang in languages:
         texts = [t for x, t in sample if x == lang]
         check = texts[::5] if len(texts) >= 5 else texts
         learn = [t for k, t in enumerate(texts) if k % 5] if len(texts) >= 5 else texts
         symbols, begin = out.streams(learn)
-        out.models.append(KneserNey.fit(np.split(symbols, begin[1:])))
+        out.models.append(KneserNey.fit(np.split(symbols, begin[1:]), bits))
         checks.append(check)
     for k, check in enumerate(checks):
         entropy, n = out.score(check, memo := {})

@@ -113,6 +113,21 @@ def test_language(spark, empty):
     assert {r.lang_pred for r in langid.identify(docs, nothing).collect()} == {"und"}
 
 
+def test_language_scripts_and_long_documents(spark, monkeypatch):
+    """Scripts with few texts beside many Latin letters are told apart; a language of long documents only is learnt."""
+    monkeypatch.setattr(langid, "MEMO_VALUES", 5000)  # a worker begins its memo anew
+    rng = random.Random(4)
+    latin = "".join(chr(c) for c in range(0xE0, 0x17F) if chr(c).isalpha() and chr(c).islower())
+    scripts = {"zh": [chr(0x4E00 + k) for k in range(300)], "ja": [chr(0x3041 + k) for k in range(80)], "th": [chr(0x0E01 + k) for k in range(40)], "lo": [chr(0x0E81 + k) for k in (0, 1, 3, 6, 7, 9, 12, 19, 20, 21)]}
+    made = [(lang, words(rng, 20, letters)) for lang, letters in scripts.items() for _ in range(60)]
+    made += [("la", words(rng, 200, latin)) for _ in range(60)] + [("lg", words(rng, 6000, "ςλμνξ")) for _ in range(12)]
+    docs = spark.createDataFrame([(k, t, x) for k, (x, t) in enumerate(made)], "doc_id long, text string, lang string")
+    sample = langid.labelled_sample(docs)
+    assert {x for x, _ in sample} == {x for x, _ in made} and max(len(t) for _, t in sample) == langid.SAMPLE_CHARS
+    got = langid.identify(docs, langid.fit(sample)).collect()
+    assert all(r.lang_pred == r.lang and not r.rejected for r in got)
+
+
 def test_kneser_ney_sums_to_one():
     stream = np.array([1, 1, 1, *np.random.default_rng(0).integers(2, 8, 400)])
     model = langid.KneserNey.fit([stream])
