@@ -7,7 +7,8 @@ A fingerprint is read off those arrays: the length, the hash of the whole text,
 ladder of prefixes (lengths grow by the square root of 2), and the smallest ``SKETCH`` hashes of all
 spans of ``SPAN`` code points.  The likeness of two fingerprints is 1 if they are equal, otherwise the larger of the
 longest ladder prefix they share, as a share of the longer text, found by binary search, and the
-Jaccard estimate from the span hashes.
+Jaccard estimate from the span hashes.  That is read off the fingerprints alone; the true longest common extension from the
+start of the text, with its edited text and with the next one, is reported beside it (``common_edited``, ``common_next``).
 
 The next document, in descending order of doc_id, is found without a global sort: doc_ids are cut into
 equal ranges ("blocks"), a task streams each block in order, and each block also gets the first
@@ -33,7 +34,7 @@ from octolith.llm.common import table
 MODULI, BASES = (2**31 - 1, 2**31 - 19), (1_000_003, 998_244_353)
 SPAN, SKETCH = 16, 48
 DOCS_PER_BLOCK, BLOCKS = 256, 1 << 17
-SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, common_edited long, common_next long"
 
 
 def _ladder(n: int) -> list[int]:
@@ -93,8 +94,11 @@ class PrefixHash:
 
 
 def fingerprint(text: str, powers: Powers) -> str:
+    return fingerprint_of(PrefixHash(text, powers))
+
+
+def fingerprint_of(p: PrefixHash) -> str:
     """``length.whole.ladder.sketch`` in hex digits."""
-    p = PrefixHash(text, powers)
     steps = _ladder(p.n)
     ladder = "".join(f"{int(x) & 0xFFFFFF:06x}" for x in p.sums[0][steps]) if steps else ""
     sketch = ""
@@ -158,19 +162,22 @@ def fingerprints(docs: DataFrame) -> DataFrame:
         powers = store.value.setdefault("powers", Powers())
         waiting = None
         for b in batches:
-            out: list[list] = [[] for _ in range(7)]
+            out: list[list] = [[] for _ in range(9)]
             for where, head, doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3), strict=True):
                 text = text.as_py()
-                own = fingerprint(text, powers)
+                hashed = PrefixHash(text, powers)
+                own = fingerprint_of(hashed)
                 if waiting and waiting[0] == where:
-                    _, d, t, f = waiting
+                    _, d, t, f, p = waiting
                     changed = edited(t, text)
-                    new = f if changed == t else fingerprint(changed, powers)
-                    row = (d, len(t), hashlib.sha256(changed.encode()).hexdigest(), f, new, likeness(f, new), likeness(f, own))
+                    q = p if changed == t else PrefixHash(changed, powers)
+                    new = f if changed == t else fingerprint_of(q)
+                    common = (p.common_extension(0, q, 0), p.common_extension(0, hashed, 0))
+                    row = (d, len(t), hashlib.sha256(changed.encode()).hexdigest(), f, new, likeness(f, new), likeness(f, own), *common)
                     for column, x in zip(out, row, strict=True):
                         column.append(x)
-                waiting = None if head else (where, doc_id, text, own)
-            kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
+                waiting = None if head else (where, doc_id, text, own, hashed)
+            kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.int64(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(out, kinds, strict=True)], names=[x.split()[0] for x in SCHEMA.split(", ")])
 
     ordered = rows.repartition("block").sortWithinPartitions("block", "head", F.col("doc_id").desc_nulls_last(), "text")

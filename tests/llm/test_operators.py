@@ -2,6 +2,7 @@
 
 import hashlib
 import io
+import os
 import random
 import re
 from collections import defaultdict
@@ -214,6 +215,18 @@ def test_fingerprints(docs, rows, empty):
     assert fingerprint.fingerprints(empty).count() == 0
 
 
+def test_common_extensions(spark):
+    """Against comparing character by character; lengths between the ladder's steps, and a text with its own copy."""
+    rng = random.Random(8)
+    base = words(rng, 300)
+    texts_ = [base[: rng.randint(1, len(base))] + words(rng, 20) for _ in range(40)] + [base, base, "", "😀" * 50]
+    got = {r.doc_id: r for r in fingerprint.fingerprints(spark.createDataFrame(list(enumerate(texts_)), "doc_id long, text string")).collect()}
+    for k, t in enumerate(texts_):
+        following = texts_[k - 1]  # descending doc_id
+        assert got[k].common_next == len(os.path.commonprefix([t, following]))
+        assert got[k].common_edited == len(os.path.commonprefix([t, fingerprint.edited(t, following)]))
+
+
 # personal data ----------------------------------------------------------------------------------------
 
 BASE = {
