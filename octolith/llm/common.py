@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from octolith.storage import shared_folder, stored
+from octolith.storage import discard, scratch_path, stored
+
+__all__ = ["WORD", "ascii_lower", "discard", "grouped_rank", "materialize", "scratch_path", "table", "word_count"]
 
 #: What a word is everywhere here: a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -15,10 +15,6 @@ ASCII_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 ASCII_LOWER = "abcdefghijklmnopqrstuvwxyz"
 
 
-def scratch_path(spark: SparkSession, what: str) -> str:
-    return f"{shared_folder(spark)}/{what}-{uuid.uuid4().hex}"
-
-
 #: Write to the shared folder and read again: cuts the lineage, survives lost executors.
 materialize = stored
 

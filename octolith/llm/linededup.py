@@ -23,16 +23,19 @@ count as one document and get the same result.  Empty tables give empty results.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from octolith.llm.common import materialize, table
+from octolith.llm.common import discard, materialize, table
 
 LEAD, SIMILAR, MIN_DOCS, MIN_TOKENS = 3, 0.8, 3, 3
 EXACT_DOCS, SHORT_DOCS = 2, 10
-_SPACE = r"\x20\x09-\x0D"
-#: A whole token with a digit; possessive, so that it takes linear time.
-_VARIABLE = rf"(?<![^{_SPACE}])[^{_SPACE}0-9]*+[0-9][^{_SPACE}]*+"
+_SPACE, _ODD_SPACE = r"\x20\x09-\x0D", "\t\x0b\x0c\r"
+#: A whole token with a digit, in a line whose white space is spaces; possessive, so that it takes linear time.
+_VARIABLE = "(?<![^ ])[^ 0-9]*+[0-9][^ ]*+"
 _KEYS = ("_k1", "_k2")
 
 
@@ -43,17 +46,33 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 def parse_lines(docs: DataFrame) -> DataFrame:
     """(_k1, _k2, pos, leaf, h, exact, parts): the way of each line down the tree, a hash of its words (null if as h: no digit) and 16 bits of each token's hash."""
-    line = F.col("line")
-    masked = F.when(line.rlike("[0-9]"), F.regexp_replace(line, _VARIABLE, "<*>")).otherwise(line)
 
     def words(x: Column) -> Column:
-        return F.array_remove(F.split(x, f"[{_SPACE}]+"), "")
+        return F.array_remove(F.split(x, " "), "")  # by one character: no pattern is run
+
+    # each step reads its columns several times, so they stay apart; a filter on tokens would be pushed below them and split every line twice
+    odd = reduce(or_, [F.contains("text", F.lit(c)) for c in _ODD_SPACE])  # cheaper than translating every text
+    text = F.when(odd, F.translate("text", _ODD_SPACE, " " * len(_ODD_SPACE))).otherwise(F.col("text"))
+    rows = docs.select(*_KEYS, F.posexplode(F.split(text, "\n")).alias("pos", "line")).filter("trim(line) <> ''")
+    rows = rows.select(*_KEYS, "pos", "line", F.col("line").rlike("[0-9]").alias("d"))
+    rows = rows.select(*_KEYS, "pos", words(F.when(F.col("d"), F.regexp_replace("line", _VARIABLE, "<*>")).otherwise(F.col("line"))).alias("t"), F.when(F.col("d"), F.xxhash64(F.array_join(words(F.col("line")), " "))).alias("exact"))
+    n = F.size("t")
+    parts = F.when(n >= MIN_TOKENS, F.transform("t", lambda x: F.shiftright(F.hash(x), 16).cast("short")))
+    return rows.select(*_KEYS, "pos", F.xxhash64(n, F.slice("t", 1, LEAD)).alias("leaf"), F.xxhash64(F.array_join("t", " ")).alias("h"), "exact", parts.alias("parts"))
+
+
+def crowded_lines(lines: DataFrame) -> DataFrame:
+    """The lines of leaves with lines of two documents at least: nothing else can recur.
 
-    rows = docs.select(*_KEYS, F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    rows = rows.select(*_KEYS, "pos", "line", words(masked).alias("t")).withColumn("n", F.size("t")).filter("n > 0")
-    exact = F.when(line.rlike("[0-9]"), F.xxhash64(F.array_join(words(line), " ")))
-    parts = F.expr(f"CASE WHEN n >= {MIN_TOKENS} THEN transform(t, x -> CAST(shiftright(hash(x), 16) AS SHORT)) END")
-    return rows.select(*_KEYS, "pos", F.xxhash64("n", F.slice("t", 1, LEAD)).alias("leaf"), F.xxhash64(F.array_join("t", " ")).alias("h"), exact.alias("exact"), parts.alias("parts"))
+    One small row per leaf and task is shuffled to find them (sums, smallest and largest document); the lines themselves travel once, and a leaf
+    with most lines is split, as both sides of the join are plain shuffles.
+    """
+    who = F.xxhash64(*_KEYS)
+    leaves = lines.groupBy("leaf").agg(F.min(who).alias("a"), F.max(who).alias("z")).filter("a <> z").select(F.col("leaf").alias("_l"))
+    leaves = materialize(leaves, "leaves")
+    out = materialize(lines.join(leaves, F.col("leaf") == F.col("_l"), "left_semi"), "crowded")
+    discard(leaves)
+    return out
 
 
 def generalised(inside: DataFrame, min_docs: int) -> DataFrame | None:
@@ -64,35 +83,43 @@ def generalised(inside: DataFrame, min_docs: int) -> DataFrame | None:
         often = F.col("c") >= min_docs
         places = votes.groupBy("g", "i").agg(
             F.max(F.struct("c", "v")).alias("top"), F.sum("c").alias("c"), F.sum("k").alias("k"), F.count(F.lit(1)).alias("kinds"),
-            F.sum(F.when(often, 0).otherwise(F.col("c"))).alias("rare"), F.array_sort(F.collect_list(F.when(often, F.col("v")))).alias("often"),
+            F.sum(F.when(often, 0).otherwise(F.col("c"))).alias("rare"), F.max(often).alias("often"),
         )
-        open_ = (F.col("kinds") > 1) & (F.size("often") > 0)
+        open_ = F.when((F.col("kinds") > 1) & F.col("often"), F.struct("rare", "kinds", "i"))
         plan = places.groupBy(F.col("g").alias("_g")).agg(
-            F.max("c").alias("_c"), F.max("k").alias("_k"), F.array_sort(F.collect_list(F.struct("i", F.col("top.v").alias("v")))).alias("_t"), F.min(F.when(open_, F.struct("rare", "kinds", "i", "often"))).alias("_s")
+            F.max("c").alias("_c"), F.max("k").alias("_k"), F.array_sort(F.collect_list(F.struct("i", F.col("top.v").alias("v")))).alias("_t"), F.min(open_).getField("i").alias("_i")
         ).filter((F.col("_c") >= min_docs) & (F.col("_k") > 1))
+        plan = materialize(plan, "plan")
         agree = F.expr("size(filter(zip_with(parts, _t, (x, y) -> x = y.v), x -> x))")
-        token = F.expr("CASE WHEN array_contains(_s.often, get(parts, _s.i)) THEN get(parts, _s.i) END")
-        split = F.when(F.col("_s").isNotNull(), F.xxhash64("g", F.col("_s.i"), F.coalesce(token.cast("int"), F.lit(1 << 20))))
-        step = pool.join(plan, F.col("g") == F.col("_g")).select("leaf", "h", "c", "parts", "g", (agree >= F.size("parts") * SIMILAR).alias("hit"), split.alias("split"))
+        step = pool.join(plan, F.col("g") == F.col("_g")).select("leaf", "h", "c", "parts", "g", (agree >= F.size("parts") * SIMILAR).alias("hit"), "_i", F.expr("get(parts, _i)").alias("_v"))
         step = materialize(step, "step")
         if step.isEmpty():
+            discard(plan, step)
             return found
         groups = step.filter("hit").groupBy(F.col("g").alias("_g")).agg(F.sum("c").alias("_c"), F.count(F.lit(1)).alias("_k")).filter((F.col("_c") >= min_docs) & (F.col("_k") > 1)).select("_g")
-        told = step.join(groups, F.col("g") == F.col("_g"), "left").withColumn("hit", F.col("hit") & F.col("_g").isNotNull())
-        new = told.filter("hit").select("leaf", "h", F.xxhash64("g", F.lit("general")).alias("gid"))
+        groups = materialize(groups, "groups")
+        told = step.join(groups, F.col("g") == F.col("_g"), "left").withColumn("hit", F.col("hit") & F.col("_g").isNotNull()).drop("_g")
+        new = materialize(told.filter("hit").select("leaf", "h", F.xxhash64("g", F.lit("general")).alias("gid")), "general")
         found = new if found is None else found.union(new)
-        pool = told.filter("NOT hit AND split IS NOT NULL").select("leaf", "h", "c", "parts", F.col("split").alias("g"))
+        # the others are dealt by their token at the group's place; rare tokens stay together.  Frequent tokens are rows, not a list in one
+        rest = told.filter("NOT hit AND _i IS NOT NULL")
+        frequent = rest.groupBy(F.col("g").alias("_g"), F.col("_v").alias("_f")).agg(F.lit(1).alias("_one"))
+        known = votes.filter(often).join(plan.select(F.col("_g").alias("_p"), F.col("_i").alias("_q")), (F.col("g") == F.col("_p")) & (F.col("i") == F.col("_q")))
+        frequent = materialize(frequent.join(known.select("g", "v"), (F.col("_g") == F.col("g")) & (F.col("_f") == F.col("v")), "left_semi"), "frequent")
+        dealt = rest.join(frequent, (F.col("g") == F.col("_g")) & (F.col("_v") == F.col("_f")), "left")
+        token = F.when(F.col("_one").isNotNull(), F.col("_v").cast("int")).otherwise(1 << 20)
+        last, pool = pool, materialize(dealt.select("leaf", "h", "c", "parts", F.xxhash64("g", "_i", token).alias("g")), "pool")
+        discard(plan, step, groups, frequent, *([last] if last is not None and hasattr(last, "_stored_at") else []))
 
 
 def recurring(lines: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     """(leaf, h, gid, long): lines that may recur; gid is null if only lines equal word for word can; documents are counted later."""
-    who = F.struct(*_KEYS)
+    who = F.xxhash64(*_KEYS)
     templates = lines.groupBy("leaf", "h").agg(F.count(F.lit(1)).alias("c"), F.min(who).alias("a"), F.max(who).alias("z"), F.first("parts").alias("parts"), F.count("exact").alias("exact"))
     templates = materialize(templates, "templates")
     long = F.col("parts").isNotNull()
-    leaves = templates.filter(long).groupBy("leaf").agg(F.count(F.lit(1)).alias("k"), F.sum("c").alias("c"), F.min("a").alias("a"), F.max("z").alias("z"))
-    crowded = leaves.filter((F.col("k") > 1) & (F.col("c") >= min_docs) & (F.col("a") != F.col("z"))).select(F.col("leaf").alias("_l"))
-    inside = materialize(templates.filter(long).join(crowded, F.col("leaf") == F.col("_l"), "left_semi").select("leaf", "h", "c", "parts"), "crowded")
+    leaves = materialize(templates.filter(long).groupBy("leaf").agg(F.count(F.lit(1)).alias("k"), F.sum("c").alias("c")).filter((F.col("k") > 1) & (F.col("c") >= min_docs)).select(F.col("leaf").alias("_l")), "leaves")
+    inside = materialize(templates.filter(long).join(leaves, F.col("leaf") == F.col("_l"), "left_semi").select("leaf", "h", "c", "parts"), "several")
     general = generalised(inside, min_docs)
     # a line is asked for the generalised template first; without digits, an equal template is an equal line
     same = F.when(long & (F.col("exact") > 0) & (F.col("c") >= min_docs), F.xxhash64("leaf", "h"))
@@ -100,21 +127,26 @@ def recurring(lines: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     if general is not None:
         named = general.select(F.col("leaf").alias("_l"), F.col("h").alias("_h"), F.col("gid").alias("_g"))
         rows = rows.join(named, (F.col("leaf") == F.col("_l")) & (F.col("h") == F.col("_h")), "left").select("leaf", "h", F.coalesce("_g", "gid").alias("gid"), "long", (F.col("two") | F.col("_g").isNotNull()).alias("two"))
-    return rows.filter("two").drop("two")
+    found = materialize(rows.filter("two").drop("two"), "recurring")
+    discard(templates, leaves, inside)
+    return found
 
 
 def dropped_lines(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     """(_k1, _k2, drops): line numbers (from 0) that go, for each document that loses any."""
-    lines = materialize(parse_lines(_keyed(docs)), "lines")
+    every = materialize(parse_lines(_keyed(docs)), "lines")
+    lines = crowded_lines(every)
+    discard(every)
     found = recurring(lines, min_docs).select(F.col("leaf").alias("_l"), F.col("h").alias("_h"), "gid", "long")
     hits = lines.join(found, (F.col("leaf") == F.col("_l")) & (F.col("h") == F.col("_h")))
     equal = F.struct(F.xxhash64("leaf", F.coalesce("exact", "h"), F.lit("equal")).alias("gid"), F.when(F.col("long"), EXACT_DOCS).otherwise(SHORT_DOCS).alias("least"))
     groups = F.array_compact(F.array(F.when(F.col("gid").isNotNull(), F.struct("gid", F.lit(min_docs).alias("least"))), equal))
     hits = materialize(hits.select(*_KEYS, "pos", F.explode(groups).alias("x")).select(*_KEYS, "pos", "x.*"), "hits")
+    discard(lines)
     by_doc = hits.select("gid", "least", *_KEYS).distinct()
-    kept = by_doc.groupBy("gid").agg(F.count(F.lit(1)).alias("docs"), F.first("least").alias("least"), F.min(F.struct(*_KEYS)).alias("first")).filter("docs >= least").drop("least")
-    drop = hits.join(kept.withColumnRenamed("gid", "_g"), F.col("gid") == F.col("_g")).filter(F.struct(*_KEYS) != F.col("first"))
-    return drop.groupBy(*_KEYS).agg(F.array_sort(F.collect_set("pos")).alias("drops"))
+    kept = by_doc.groupBy("gid").agg(F.count(F.lit(1)).alias("docs"), F.first("least").alias("least"), F.min(F.struct(*_KEYS)).alias("first")).filter("docs >= least").select(F.col("gid").alias("_g"), "first")
+    drop = hits.join(materialize(kept, "kept"), F.col("gid") == F.col("_g")).filter(F.struct(*_KEYS) != F.col("first"))
+    return materialize(drop.groupBy(*_KEYS).agg(F.array_sort(F.collect_set("pos")).alias("drops")), "drops")
 
 
 def _rebuilt(docs: DataFrame, min_docs: int) -> DataFrame:
