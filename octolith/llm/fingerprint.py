@@ -4,17 +4,17 @@
 and a binary search over span equality finds the longest common extension of two positions.
 
 A fingerprint is read off those arrays: the length, the hash of the whole text, the hashes of a
-ladder of prefixes (lengths grow by the square root of 2), and the smallest ``SKETCH`` hashes of all
+ladder of prefixes (lengths grow by an eighth root of 2, about 9 %), and the smallest ``SKETCH`` hashes of all
 spans of ``SPAN`` code points.  The likeness of two fingerprints is 1 if they are equal, otherwise the larger of the
 longest ladder prefix they share, as a share of the longer text, found by binary search, and the
 Jaccard estimate from the span hashes.  That is read off the fingerprints alone; the true longest common extension from the
 start of the text, with its edited text and with the next one, is reported beside it (``common_edited``, ``common_next``).
 
-The next document, in descending order of doc_id, is found without a global sort: doc_ids are cut into
-equal ranges ("blocks"), a task streams each block in order, and each block also gets the first
-document of the next one.  At most ``BLOCKS`` first ids are broadcast (16 octets each).
+The next document, in descending order of doc_id, is found without a global sort: doc_ids are cut at approximate
+quantiles, whatever their gaps, into ranges ("blocks") of about as many rows, a task streams each block in order, and each block also gets the first
+document of the next one.  At most ``BLOCKS`` bounds and first ids are broadcast (8 and 16 octets each).
 
-Nulls: a null text is empty, a null doc_id comes last.  Empty texts have no prefixes and no spans;
+Nulls: a null text is empty, a null doc_id comes last (all of them are one block).  Empty texts have no prefixes and no spans;
 their likeness to any other text is 0.  Repeated rows and ties of doc_id come in the order of their texts.
 A lone document is its own next one.  An empty table gives an empty result; extra columns are ignored.
 """
@@ -22,6 +22,7 @@ A lone document is its own next one.  An empty table gives an empty result; extr
 from __future__ import annotations
 
 import hashlib
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,13 +38,13 @@ DOCS_PER_BLOCK, BLOCKS = 256, 1 << 17
 SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, common_edited long, common_next long"
 
 
+#: Prefix lengths: 1, 2, 3, ..., then growing by an eighth root of 2.
+RUNGS = sorted({round(2 ** (k / 8)) for k in range(8 * 40)})
+
+
 def _ladder(n: int) -> list[int]:
-    """Prefix lengths 1, 2, 3, 4, 6, 8, 12, ... up to n."""
-    out, k = [], 0
-    while (x := (2 if k % 2 == 0 else 3) << (k // 2)) <= n:
-        out.append(x)
-        k += 1
-    return ([1] if n else []) + out
+    """Prefix lengths up to n."""
+    return RUNGS[: bisect_right(RUNGS, n)]
 
 
 class Powers:
@@ -143,11 +144,16 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     """One row per document; see SCHEMA."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    low, high, n = docs.agg(F.min("doc_id"), F.max("doc_id"), F.count(F.lit(1))).first()
-    low, high = low or 0, high or 0
+    n = docs.agg(F.count("doc_id")).first()[0]
     blocks = max(1, min(BLOCKS, n // DOCS_PER_BLOCK))
-    width = -(-(high - low + 1) // blocks)
-    block = F.coalesce(F.floor((F.col("doc_id").cast("double") - F.lit(float(low))) / F.lit(float(width))), F.lit(-1)).cast("long")
+    cuts = docs.agg(F.percentile_approx("doc_id", F.lit(np.arange(1, blocks) / blocks), 8 * blocks)).first()[0] if blocks > 1 else []
+    cuts = np.unique(np.array(cuts or [], dtype=np.int64))
+    held = spark.sparkContext.broadcast(cuts)
+
+    def place(ids: pa.Array) -> pa.Array:
+        return pa.array(np.searchsorted(held.value, ids.fill_null(0).to_numpy(zero_copy_only=False)), pa.int64())
+
+    block = F.when(F.col("doc_id").isNull(), -1).otherwise(F.arrow_udf(place, "long")("doc_id"))
     own = docs.withColumn("block", block)
     tops = own.groupBy("block").agg(F.max("doc_id").alias("top"))  # at most BLOCKS + 2 rows
     down = Window.orderBy("block")
