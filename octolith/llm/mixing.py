@@ -11,7 +11,7 @@ Documents run in the order of their size class, so short and long ones are sampl
 taken stay within about the largest document of the target.
 
 A source may hold most rows: a task sorts one (source, size class, slice) group only, and the starts of
-the groups come from sums (see ``common.grouped_rank``).  One row per source meets in one task for the
+the groups come from sums (see ``common.grouped_rank``).  Slices go by a hash of doc_id and size, and there are more of them the more documents there are.  One row per source meets in one task for the
 targets: a table of sources, made by partial aggregation.
 
 Nulls: a null text has size 0, a null source is a source of its own (the last one), a null doc_id comes
@@ -29,7 +29,8 @@ from pyspark.sql import functions as F
 from octolith.llm.common import grouped_rank, materialize, table, word_count
 
 WEIGHTS, BUDGET, MOST = (3, 1, 2), 1.5, 2
-SLICES = 32
+#: Slices of a size class: this many at least, and one for so many documents.
+SLICES, PER_SLICE = 32, 65_536
 
 
 def size_class(size: Column) -> Column:
@@ -57,19 +58,25 @@ def targets(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, budget: float
     return rows.select("source", "source_size", "weight", F.coalesce(target, F.lit(0.0)).alias("target"))
 
 
+def _leading(digest: Column) -> Column:
+    """The first 32 bits of a hexadecimal digest."""
+    return F.conv(F.substring(digest, 1, 8), 16, 10).cast("long")
+
+
 def offset(source: Column, seed: str) -> Column:
-    """One number in [0, 1) per source: the first 32 bits of a digest."""
-    return F.conv(F.substring(F.md5(F.concat(F.lit(seed + ":"), F.coalesce(source, F.lit("")))), 1, 8), 16, 10).cast("long") / F.lit(float(1 << 32))
+    """One number in [0, 1) per source."""
+    return _leading(F.md5(F.concat(F.lit(seed + ":"), F.coalesce(source, F.lit(""))))) / F.lit(float(1 << 32))
 
 
 def copies(sized: DataFrame, seed: str = "mix", **how) -> DataFrame:
     """Adds source_size, target and copies to rows with doc_id, source and size; other columns stay."""
-    slice_ = F.pmod(F.coalesce("doc_id", F.lit(0)), F.lit(SLICES))
-    # small rows, read three times; the texts only once
+    # small rows, read a few times; the texts only once
     rows = materialize(sized, "sizes").withColumn("_class", size_class(F.col("size")))
+    slices = max(SLICES, rows.count() // PER_SLICE)
+    slice_ = _leading(F.md5(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("size").cast("string")))) % slices
     per_source = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
     goals = targets(per_source, **how).select(F.col("source").alias("_source"), "source_size", "target")
-    ranked = grouped_rank(rows, ["source"], ["doc_id", "size"], F.col("_class") * SLICES + slice_)
+    ranked = grouped_rank(rows, ["source"], ["doc_id", "size"], F.col("_class") * slices + slice_)
     out = ranked.join(goals, F.col("source").eqNullSafe(F.col("_source")))
     each = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     start = offset(F.col("source"), seed)
@@ -117,7 +124,8 @@ t AS (SELECT source, source_size, coalesce(CASE WHEN is_full THEN cap ELSE o.res
 k AS (SELECT d.doc_id, d.size, t.source_size, t.target, CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0 END AS each,
              ('0x' || md5('mix:' || coalesce(d.source, ''))[1:8])::BIGINT / 4294967296.0::DOUBLE AS start,
              row_number() OVER (PARTITION BY d.source ORDER BY
-                 CASE WHEN size > 0 THEN (length(bin(size)) - 1) * 8 + ((size::BIGINT << 3) >> (length(bin(size)) - 1)) - 7 ELSE 0 END * 32 + coalesce(d.doc_id, 0) % 32, d.doc_id) - 1 AS n
+                 CASE WHEN size > 0 THEN (length(bin(size)) - 1) * 8 + ((size::BIGINT << 3) >> (length(bin(size)) - 1)) - 7 ELSE 0 END,
+                 ('0x' || md5(coalesce(d.doc_id::VARCHAR, '') || ':' || size::VARCHAR)[1:8])::BIGINT % (SELECT greatest(32, count(*) // 65536) FROM d), d.doc_id) - 1 AS n
       FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
 c AS (SELECT *, least(floor((n + 1) * each + start) - floor(n * each + start), ceil(each))::BIGINT AS copies FROM k)
 SELECT doc_id, size::BIGINT AS size, source_size, target, copies * size AS taken, copies FROM c
