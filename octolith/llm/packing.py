@@ -32,6 +32,8 @@ from octolith.llm.common import grouped_rank, materialize, table
 CAPACITY, END_ID = 4096, 1
 #: Words, and stretches without white space, that a worker remembers the ids of.
 REMEMBERED = 400_000
+#: Pieces of one length are ranked in this many blocks at least, and in one for so many pieces.
+BLOCKS, PER_BLOCK = 64, 250_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 # In texts of these characters alone, lower-casing and the split into words are the same in every
@@ -51,7 +53,7 @@ class Encoder:
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer = Tokenizer.from_file(tokenizer_path(path))
         self.stretches: dict[str, bytes] = {}
         self.words: dict[str, bytes] = {}
         vocabulary = self.tokenizer.get_vocab()
@@ -200,14 +202,23 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFrame
             yield pa.RecordBatch.from_arrays([*b.columns[:5], pa.array(first[k] + at - begin[k]), pa.array(offset[k])], names=["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
 
     names = ["doc_id", "piece", "start", "length", "ids_crc32"]
-    ranked = grouped_rank(pieces, ["length"], ["doc_id", "piece", "ids_crc32"], F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(64)))
+    crowded = {n: c // PER_BLOCK for n, c in counts.items() if c // PER_BLOCK > BLOCKS}
+    blocks = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x).cast("long") for n_blocks in sorted(crowded.items()) for x in n_blocks]), F.col("length")), F.lit(BLOCKS)) if crowded else F.lit(BLOCKS)
+    ranked = grouped_rank(pieces, ["length"], ["doc_id", "piece", "ids_crc32"], F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), blocks))
     return ranked.select(*names, F.col("rank").cast("long").alias("rank")).mapInArrow(run, f"{PIECES}, sequence_id long, offset long")
 
 
-def default_tokenizer() -> str:
+def tokenizer_path(tokenizer: str) -> str:
+    """A path as it is; the name of a public vocabulary file where this worker has it."""
+    if "/" in tokenizer:
+        return tokenizer
     import public_tokenizers
 
-    return public_tokenizers.path("word_bpe_49k.json")
+    return public_tokenizers.path(tokenizer)
+
+
+def default_tokenizer() -> str:
+    return "word_bpe_49k.json"
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
