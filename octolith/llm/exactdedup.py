@@ -27,7 +27,8 @@ from pyspark.sql import functions as F
 
 from octolith.llm.common import ascii_lower, materialize, table
 
-SHARDS = 256
+#: Shards of the key space: this many at least, and one for so many keys.
+SHARDS, PER_SHARD = 256, 1_000_000
 #: Filters are broadcast up to this many keys (about 1.2 octets each); beyond, a join does their work.
 BROADCAST_KEYS = 16_000_000
 
@@ -105,11 +106,15 @@ class BinaryFuse8:
         return cls(seed, segment, segments, np.frombuffer(data, dtype=np.uint8, offset=24))
 
 
-def _shard(key: str = "key") -> Column:
-    return F.pmod(F.col(key), F.lit(SHARDS)).cast("int")
+def shards_for(n: int) -> int:
+    return max(SHARDS, n // PER_SHARD)
 
 
-def build_filters(keys: DataFrame) -> DataFrame:
+def _shard(shards: int, key: str = "key") -> Column:
+    return F.pmod(F.col(key), F.lit(shards)).cast("int")
+
+
+def build_filters(keys: DataFrame, shards: int = SHARDS) -> DataFrame:
     """(shard, filter): one filter per shard of the distinct values of ``keys.key``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -129,11 +134,11 @@ def build_filters(keys: DataFrame) -> DataFrame:
         if parts:
             yield made(now, parts)
 
-    rows = keys.select(_shard().alias("shard"), "key").repartition("shard").sortWithinPartitions("shard")
+    rows = keys.select(_shard(shards).alias("shard"), "key").repartition("shard").sortWithinPartitions("shard")
     return rows.mapInArrow(run, "shard int, filter binary")
 
 
-def screen(filters: DataFrame, batch: DataFrame) -> DataFrame:
+def screen(filters: DataFrame, batch: DataFrame, shards: int = SHARDS) -> DataFrame:
     """Rows of ``batch`` (key, sha) that the filter of their shard might hold."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -153,7 +158,7 @@ def screen(filters: DataFrame, batch: DataFrame) -> DataFrame:
 
     none = F.lit(None)
     rows = filters.select("shard", F.lit(0).alias("side"), F.lit(0).cast("long").alias("key"), "filter", none.cast("binary").alias("sha")).unionByName(
-        batch.select(_shard().alias("shard"), F.lit(1).alias("side"), "key", none.cast("binary").alias("filter"), "sha")
+        batch.select(_shard(shards).alias("shard"), F.lit(1).alias("side"), "key", none.cast("binary").alias("filter"), "sha")
     )
     return rows.repartition("shard").sortWithinPartitions("shard", "side").mapInArrow(run, "sha binary")
 
@@ -178,8 +183,9 @@ def deduplicate(snapshot: DataFrame, batch: DataFrame) -> DataFrame:
     docs = snapshot.select("doc_id", "text", F.lit(False).alias("_new")).unionByName(batch.select("doc_id", "text", F.lit(True).alias("_new")))
     rows = materialize(digests(docs), "digests")
     old, new = _summed(rows.filter(~F.col("new"))), _summed(rows.filter("new"))
-    filters = materialize(build_filters(old), "filters")
-    positive = screen(filters, new).select(F.col("sha").alias("_p"))
+    shards = shards_for(rows.count())
+    filters = materialize(build_filters(old, shards), "filters")
+    positive = screen(filters, new, shards).select(F.col("sha").alias("_p"))
     buckets = old.select(F.col("sha").alias("_o"), F.col("n").alias("_on"))
     hits = positive.join(buckets, F.col("_p") == F.col("_o")).select(F.col("_o").alias("_s"), "_on")
     both = new.join(hits, new.sha == hits._s, "left").select("sha", "key", (F.col("n") + F.coalesce("_on", F.lit(0))).alias("n"))
