@@ -9,9 +9,13 @@ that the models have not seen.
 Every letter of the sample is a symbol of its own: a symbol has as many bits as that takes, up to ``MOST_BITS`` (beyond, rare letters share
 symbols by their hash).
 
-Learning: the ``MOST_LANGS`` commonest languages, up to ``per_lang`` documents of each (of longer ones a window of ``SAMPLE_CHARS`` characters
-at a place given by the hash), the ones with the smallest hash of their doc_id; that bound fits the models, everything else reads whole
-texts of all documents.  A fifth of the sample only calibrates.
+Learning: up to ``per_lang`` documents of each language, the ones with the smallest hash of their doc_id, of longer ones a window of ``SAMPLE_CHARS`` characters
+at a place given by the hash; fewer and shorter ones where there are very many languages, so that the sample has ``SAMPLE_DOCS`` documents (one per
+language at least) and ``TOTAL_CHARS`` characters at most, whatever the input, and the models at most 16 octets for each n-gram of it.  Of more than ``MOST_LANGS`` values of lang (ISO 639-3 has under 8,000) the
+commonest are learnt.  These bounds fit the models, everything else reads whole texts of all documents.  A fifth of the sample only calibrates.
+
+The score is the posterior of the language as if the text had at most ``EVIDENCE`` characters; the prediction weighs all of them.  Of languages with the same
+cross-entropy the first by name wins.
 
 Nulls, and texts without a letter: language ``und``, score 0, rejected.  Repeated rows get equal
 results.  Texts of any length are scored whole.  Without a labelled document every language is
@@ -38,8 +42,8 @@ ORDER = 4
 SYMBOL_BITS, MOST_BITS = 6, 16
 #: Looked-up values (n-grams times languages) that a worker keeps; beyond, it begins anew.
 MEMO_VALUES = 1 << 23
-PER_LANG, SAMPLE_CHARS, MOST_LANGS = 400, 20_000, 500
-CHUNK_CHARS = 2_000_000
+PER_LANG, SAMPLE_CHARS, SAMPLE_DOCS, TOTAL_CHARS, MOST_LANGS = 400, 20_000, 200_000, 32_000_000, 10_000
+CHUNK_CHARS, EVIDENCE = 2_000_000, 100
 UNDECIDED = "und"
 #: A document is rejected this many standard errors, plus this many nats, above what calibration saw.
 REJECT_SIGMAS, REJECT_NATS = 6.0, 0.6
@@ -55,15 +59,17 @@ def labelled_sample(docs: DataFrame, per_lang: int = PER_LANG) -> list[tuple[str
     length = F.char_length("text")
     rows = docs.select("doc_id", "lang", "text").filter(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out() & (length > 0))
     hashed = rows.withColumn("_h", F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(1 << 32)))
-    begin = F.pmod(F.xxhash64("doc_id", F.lit("window")), F.greatest(length - SAMPLE_CHARS, F.lit(0)) + 1).cast("int") + 1
     counts = {r.lang: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGS).collect()}
     if not counts:
         return []
+    per_lang = min(per_lang, max(1, SAMPLE_DOCS // len(counts)))
+    window = min(SAMPLE_CHARS, TOTAL_CHARS // sum(min(per_lang, n) for n in counts.values()))
+    begin = F.pmod(F.xxhash64("doc_id", F.lit("window")), F.greatest(length - window, F.lit(0)) + 1).cast("int") + 1
     # a threshold on the hash, on the scan itself: the window gets a few times per_lang rows of a language, however many there are
     most = F.create_map(*[F.lit(x) for lang, n in sorted(counts.items()) for x in (lang, 4.0 * per_lang * (1 << 32) / n)])
     near = hashed.filter(F.col("_h") <= F.try_element_at(most, F.col("lang")))
     w = Window.partitionBy("lang").orderBy("_h", "doc_id", F.xxhash64("text"))
-    picked = near.select("lang", F.substring("text", begin, F.lit(SAMPLE_CHARS)).alias("text"), "_h", "doc_id").withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= per_lang)
+    picked = near.select("lang", F.substring("text", begin, F.lit(window)).alias("text"), "_h", "doc_id").withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= per_lang)
     return [(r.lang, r.text) for r in sorted(picked.collect(), key=lambda r: (r.lang, r._r))]
 
 
@@ -215,7 +221,7 @@ class LanguageModel:
         entropy, n = self.score(texts, memo)
         best = entropy.argmin(axis=1)
         low = entropy.min(axis=1)
-        weight = np.exp((low[:, None] - entropy) * np.minimum(n, 100)[:, None])
+        weight = np.exp((low[:, None] - entropy) * np.minimum(n, EVIDENCE)[:, None])
         known = n > 0
         limit = self.mean[best] + self.margin[best] + REJECT_SIGMAS * self.sigma[best] / np.sqrt(np.maximum(n, 1))
         return [self.languages[k] if ok else UNDECIDED for k, ok in zip(best, known, strict=True)], np.where(known, 1 / weight.sum(axis=1), 0.0), np.where(known, low, 0.0), ~known | (low > limit)
@@ -262,12 +268,14 @@ def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
         model = memo["model"]
         out: list[list] = [[], [], [], []]
 
+        most = max(50_000, CHUNK_CHARS * 4 // max(4, len(model.models)))  # new n-grams of a chunk times languages stay few
+
         def chunks() -> Iterator[list[str]]:
             chunk, size = [], 0
             for t in texts:
                 chunk.append(t := t.as_py() or "")
                 size += len(t)
-                if size >= CHUNK_CHARS:
+                if size >= most:
                     yield chunk
                     chunk, size = [], 0
             if chunk:
