@@ -132,15 +132,15 @@ def min_hashes(h: np.ndarray) -> np.ndarray:
     return out
 
 
-def bk_forest(shard: np.ndarray, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def bk_forest(shard: np.ndarray, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
     """BK-trees of all shards at once (rows of a shard are adjacent, fingerprints distinct in it).
 
-    Returns root, parent and edge label of each row: the trees that inserting row after row gives.
+    Returns root, parent and edge label of each row, and the rows of each depth below the roots: the trees that inserting row after row gives.
     """
     n = len(fp)
     first = np.flatnonzero(np.r_[True, shard[1:] != shard[:-1]])
     root = np.repeat(first, np.diff(np.r_[first, n]))
-    parent, label = root.copy(), np.zeros(n, dtype=np.int64)
+    parent, label, depths = root.copy(), np.zeros(n, dtype=np.int64), []
     active = np.flatnonzero(np.arange(n) != root)
     at = root[active]
     while active.size:
@@ -150,11 +150,21 @@ def bk_forest(shard: np.ndarray, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray
         new = np.flatnonzero(np.r_[True, key[order][1:] != key[order][:-1]])
         child = active[order[new]]
         parent[child], label[child] = at[order[new]], d[order[new]]
+        depths.append(child)
         to = np.empty_like(active)
         to[order] = np.repeat(child, np.diff(np.r_[new, len(order)]))
         deeper = to != active
         active, at = active[deeper], to[deeper]
-    return root, parent, label
+    return root, parent, label, depths
+
+
+def _whole(comp: np.ndarray, parent: np.ndarray, depths: list[np.ndarray]) -> np.ndarray:
+    """The component of each row's subtree if all of it is in one, else -1."""
+    out = comp.copy()
+    for rows in reversed(depths):
+        up = parent[rows]
+        out[up[out[rows] != comp[up]]] = -1
+    return out
 
 
 def _merged(comp: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -192,30 +202,36 @@ def _alike_pairs(q: np.ndarray, node: np.ndarray, comp: np.ndarray, sketch: np.n
 
 
 def forest_links(shard: np.ndarray, fp: np.ndarray, radius: int, sketch: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Spanning forest (row, row of its local root) of all pairs within ``radius`` in a shard."""
+    """Spanning forest (row, row of its local root) of all pairs within ``radius`` in a shard.
+
+    A subtree that lies in the query's own component is not entered: a group of many near copies, linked after the first steps, costs no
+    comparison per pair.
+    """
     n = len(fp)
-    root, parent, label = bk_forest(shard, fp)
+    root, parent, label, depths = bk_forest(shard, fp)
     inner = np.flatnonzero(root != np.arange(n))
     kids = inner[np.argsort(parent[inner], kind="stable")]
     begin = np.searchsorted(parent[kids], np.arange(n + 1))
     comp = np.arange(n)
+    whole = _whole(comp, parent, depths)
     for lo in range(0, len(inner), SEARCH_ROWS):
         q = inner[lo : lo + SEARCH_ROWS]
-        node, found = root[q], []
+        node = root[q]
         while q.size:
             d = np.bitwise_count(fp[q] ^ fp[node]).astype(np.int64)
             near = np.flatnonzero((d <= radius) & (comp[q] != comp[node]))
-            if sketch is None:
-                found.append((q[near], node[near]))
-            else:
-                comp = _merged(comp, *_alike_pairs(q[near], node[near], comp, sketch))
+            if len(near):
+                last = comp.copy()
+                comp = _merged(comp, *((q[near], node[near]) if sketch is None else _alike_pairs(q[near], node[near], comp, sketch)))
+                if not np.array_equal(comp, last):
+                    whole = _whole(comp, parent, depths)
+            enter = whole[node] != comp[q]
+            q, d, node = q[enter], d[enter], node[enter]
             count = begin[node + 1] - begin[node]
             at = np.repeat(begin[node] - np.r_[0, np.cumsum(count)[:-1]], count) + np.arange(count.sum())
             q, d, node = np.repeat(q, count), np.repeat(d, count), kids[at]
             follow = (np.abs(label[node] - d) <= radius) & (node < q)  # a subtree's rows all come after its root
             q, node = q[follow], node[follow]
-        if found:
-            comp = _merged(comp, np.concatenate([x for x, _ in found]), np.concatenate([x for _, x in found]))
     rows = np.flatnonzero(comp != np.arange(n))
     return rows, comp[rows]
 
@@ -263,11 +279,14 @@ def hamming_links(fps: DataFrame, radius: int = 3) -> DataFrame:
 
 
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """(node, label): label is the smallest node of each component.  Alternating star rounds."""
+    """(node, label): label is the smallest node of each component.  Alternating star rounds.
+
+    What edges are joined with is a table of its own: then a hub's edges are a plain shuffle, which Spark can split.
+    """
 
     def star(e: DataFrame, large: bool) -> DataFrame:
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v"))) if large else e
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), F.least("m", "u").alias("m"))
+        low = materialize(both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), F.least("m", "u").alias("m")), "lowest")
         pairs = both.join(low, both.u == low.k).select("u", "v", "m")
         if large:  # each larger neighbour moves to the smallest one
             moved = pairs.filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
@@ -297,9 +316,10 @@ def components_of(rows: DataFrame, links: DataFrame, node: str = "fp") -> DataFr
     last = F.lit((1 << 63) - 1)
     classes = rows.groupBy(node).agg(F.min(F.struct(F.coalesce("doc_id", last).alias("k"), "doc_id", "text_hash")).alias("first"))
     labels = connected_components(links).withColumnRenamed("node", "_n")
-    named = classes.join(labels, classes[node] == labels._n, "left").select(node, "first", F.coalesce("label", node).alias("label"))
-    firsts = named.groupBy("label").agg(F.min("first").alias("best"))
-    ids = named.select(F.col(node).alias("_fp"), "label").join(firsts, "label").select("_fp", "best")
+    named = materialize(classes.join(labels, classes[node] == labels._n, "left").select(node, "first", F.coalesce("label", node).alias("label")), "named")
+    firsts = materialize(named.groupBy(F.col("label").alias("_label")).agg(F.min("first").alias("best")), "firsts")
+    # both sides of either join are plain shuffles: a giant component, or one fingerprint of very many rows, is split
+    ids = materialize(named.join(firsts, F.col("label") == F.col("_label")).select(F.col(node).alias("_fp"), "best"), "components")
     return rows.join(ids, rows[node] == ids._fp).select("doc_id", "text_hash", node, F.col("best.doc_id").alias("component_id"), F.col("best.text_hash").alias("first_hash"))
 
 

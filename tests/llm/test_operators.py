@@ -455,6 +455,49 @@ def test_reputation(spark):
     assert {(r.host, r.verdict) for r in got} == {("h0.site0.net", "allow"), ("h1.site1.net", "allow"), ("h2.site0.net", "allow"), ("h3.site1.net", "block")}
 
 
+def test_worst_reputation(spark):
+    """The floor comes from the data: the worst host goes though it is good more often than not; alike hosts all stay."""
+    rng = random.Random(17)
+    pages, labels = [], []
+    for k in range(4000):
+        host = rng.randrange(40)
+        pages.append((k, f"x://h{host}.site{host % 7}.net/"))
+        labels.append((k, int(rng.random() < (0.6 if host == 3 else 0.85))))
+    make = spark.createDataFrame
+    got = urlfilter.judge(make(pages, "page_id long, url string"), make(labels, "page_id long, good int"), rules=(), worst=0.04).collect()
+    assert {r.host for r in got if r.verdict == "block"} == {"h3.site3.net"}
+    even = [(k, k // 40 % 2) for k in range(4000)]
+    pages = [(k, f"x://h{k % 40}.site.net/") for k in range(4000)]
+    got = urlfilter.judge(make(pages, "page_id long, url string"), make(even, "page_id long, good int"), rules=()).collect()
+    assert {r.verdict for r in got} == {"allow"}
+    twice = [*pages, *pages[:100]]
+    doubled = urlfilter.judge(make(twice, "page_id long, url string"), make([*even, (1, None), (2, 1)], "page_id long, good int"), rules=())
+    assert doubled.count() == len(twice)
+
+
+def test_both_verdicts_without_rules(spark):
+    got = {r.verdict: r["count"] for r in urlfilter.op8_url_filter(spark, "/root/testdata/sf0.1").filter("rule IS NULL").groupBy("verdict").count().collect()}
+    assert set(got) == {"allow", "block"} and got["block"] < got["allow"]
+
+
+def test_registered_domains(spark):
+    hosts = ["a.b.example.com", "example.com", "com", "x.shop.co.uk", "shop.co.uk:8080", "co.uk", "10.0.0.1", "10.0.0.1:80", ""]
+    got = spark.createDataFrame([(h,) for h in hosts], "host string").select(*urlfilter.domain_of(urlfilter.F.col("host"))).collect()
+    assert [tuple(r) for r in got] == [("example.com", "com"), ("example.com", "com"), ("com", "com"), ("shop.co.uk", "co.uk"), ("shop.co.uk", "co.uk"), ("co.uk", "co.uk"), ("10.0.0.1",) * 2, ("10.0.0.1",) * 2, ("", "")]
+
+
+def test_many_rules(spark, monkeypatch):
+    """The join gives what the compiled rules give; of equally long rules the first wins."""
+    rng = random.Random(5)
+    urls = [f"x://{'.'.join(rng.choice('ab') for _ in range(rng.randint(1, 4)))}/{rng.choice(['', 'a', 'ab', 'b/c'])}" for _ in range(200)]
+    rules = [(rng.choice(["allow", "block"]), ".".join(rng.choice("ab") for _ in range(rng.randint(1, 3))), rng.choice(["", "/", "/a", "/ab"])) for _ in range(60)]
+    pages = spark.createDataFrame([(k, u) for k, u in enumerate([*urls, urls[0], None])], "page_id long, url string")
+    labels = spark.createDataFrame([], "page_id long, good int")
+    few = sorted(urlfilter.judge(pages, labels, rules).collect())
+    monkeypatch.setattr(urlfilter, "MOST_RULES", 0)
+    assert sorted(urlfilter.judge(pages, labels, rules).collect()) == few
+
+
 # archives ---------------------------------------------------------------------------------------------
 
 
@@ -483,6 +526,79 @@ def test_salvage(zipped, monkeypatch):
     assert read(b"") == []
 
 
+@pytest.mark.parametrize("zipped", [False, True])
+@pytest.mark.parametrize("seed", range(6))
+def test_salvage_of_many_places(zipped, seed, monkeypatch):
+    """Several damaged records, in members of several records too: every other record comes back, and no gap covers one."""
+    monkeypatch.setattr(warc, "CHUNK", 211)
+    monkeypatch.setattr(warc, "HELD_BYTES", 1 << 24 if seed % 2 else 300)
+    rng = random.Random(seed)
+    payloads = [bytes(rng.randrange(256) for _ in range(rng.randint(0, 400))) for _ in range(30)]
+    made = [bytearray(warc.record(k, "u", p, hashlib.sha1(p).hexdigest(), None, False)) for k, p in enumerate(payloads)]
+    bad = {k for k in rng.sample(range(30), 7) if payloads[k]}
+    for k in bad:
+        made[k][made[k].rindex(payloads[k]) + rng.randrange(len(payloads[k]))] ^= 1 + rng.randrange(255)
+    groups = [list(range(k, min(30, k + 5))) for k in range(0, 30, 5)]
+    contents = [b"".join(bytes(made[k]) for k in g) for g in groups]
+    parts = [warc.member(c) if zipped else c for c in contents]
+    broken = None
+    if zipped:  # one member is damaged itself
+        broken = rng.randrange(len(parts))
+        parts[broken] = parts[broken][:-8] + b"\0" * 8
+    found = list(warc.salvage(io.BytesIO(b"".join(parts)), zipped))
+    got = [warc._page(e.headers["warc-record-id"]) for e in found if not e.problem]
+    assert got == [k for k in range(30) if k not in bad and not (zipped and k in groups[broken])]
+    starts = np.cumsum([0, *map(len, parts)])
+    gaps = set()
+    for e in found:
+        if e.problem and zipped and e.inner_end is not None:
+            member = int(np.flatnonzero(starts == e.begin)[0])
+            gaps.add((member, e.inner_begin, e.inner_end))
+        elif e.problem and not zipped:
+            gaps.add((e.begin, e.end))
+    want, at = set(), 0
+    for m, g in enumerate(groups):
+        inner = 0
+        for k in g:
+            if k in bad:
+                place = (m, inner, inner + len(made[k])) if zipped else (at + inner, at + inner + len(made[k]))
+                last = max((x for x in want if x[-1] == place[-2] and (not zipped or x[0] == m)), default=None)
+                if last:  # neighbours are one stretch
+                    want.remove(last)
+                    place = (*place[:-2], last[-2], place[-1])
+                want.add(place)
+            inner += len(made[k])
+        at += inner
+    if zipped:
+        assert {x for x in gaps if x[0] != broken} == {x for x in want if x[0] != broken}
+        assert [(e.begin, e.end) for e in found if e.problem and e.inner_end is None] == [(starts[broken], starts[broken + 1])]
+    else:
+        assert gaps == want
+
+
+def test_other_writers(spark, tmp_path):
+    """Base32 digests, WARC/1.0, UUIDs, other types, several records a member, no digest at all."""
+    import base64
+    import gzip
+
+    def one(kind, payload, digest, extra=b"", http=True):
+        block = (b"HTTP/1.1 200 OK\r\nServer: x\r\n\r\n" if http else b"") + payload
+        head = b"WARC/1.0\r\nWARC-Type: " + kind + b"\r\nWARC-Record-ID: <urn:uuid:0e0e>\r\n" + (b"WARC-Payload-Digest: " + digest + b"\r\n" if digest else b"") + extra
+        return head + (b"Content-Type: application/http;msgtype=response\r\n" if http else b"") + b"Content-Length: %d\r\n\r\n" % len(block) + block + b"\r\n\r\n"
+
+    p = b"<html>\r\n\r\nbody"
+    base = b"sha1:" + base64.b32encode(hashlib.sha1(p).digest())
+    parts = [one(b"warcinfo", b"software: x", None, http=False), one(b"response", p, base, b"WARC-Target-URI: http://a/\r\n"), one(b"response", p, b"sha256:" + hashlib.sha256(p).hexdigest().encode()),
+             one(b"resource", p, base, http=False), one(b"response", p, b"blake9:zzz"), one(b"revisit", b"", base), one(b"response", p, b"sha1:" + b"A" * 32)]
+    for name, data in (("x.warc", b"".join(parts)), ("y.warc.gz", gzip.compress(b"".join(parts))), ("z.warc.gz", b"".join(map(gzip.compress, parts)))):
+        (tmp_path / name).write_bytes(data)
+        got = warc.read_archives(spark.createDataFrame([(f"file://{tmp_path}/{name}",)], "path string")).collect()
+        assert [r.record_type for r in got] == ["warcinfo", "response", "response", "resource", "response", "revisit", None], name
+        assert [r.problem for r in got] == [None] * 6 + ["wrong digest"]
+        assert {r.payload_digest for r in got[1:6]} == {hashlib.sha1(p).hexdigest()} and all(r.page_id is None for r in got)
+        assert got[1].url == "http://a/"
+
+
 def test_archives(spark, tmp_path):
     big = "é" * 700
     pages = [(1, "http://a/ b", big), (2, None, big), (3, "u", "small"), (4, "u", "small"), (5, "u", None), (None, "u", big), (6, "u", "")]
