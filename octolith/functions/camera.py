@@ -99,3 +99,30 @@ def orbit_world(yaw: float, pitch: float, radius: float, target: Sequence[float]
 def orbit_view(yaw: float, pitch: float, radius: float, target: Sequence[float], **lens: float) -> Matrix:
     """World-to-clip matrix."""
     return multiply(perspective(**lens), inverse(orbit_world(yaw, pitch, radius, target)))
+
+
+#: Named views, as (yaw, pitch, radius, target).
+PRESETS = {
+    "Chiller - bird": (-5.237, -0.542, 34.626, (9.595, 10.394, 0.295)),
+    "Chiller - close": (-5.752, 0.090, 16.153, (11.035, 13.285, 2.828)),
+    "Retz - bird": (-1.808, -0.997, 1166.684, (691.401, 884.472, -80.610)),
+    "Retz - close": (0.750, -0.418, 80.902, (572.854, 856.372, 52.416)),
+    "Morro Bay - bird": (-0.207, -0.797, 3866.886, (2398.747, 2167.120, -394.165)),
+    "Morro Bay - close": (-11.270, -0.225, 93.982, (2750.218, 974.775, 76.230)),
+    "Meroe - bird": (-7.430, -0.617, 929.239, (480.880, 573.485, -15.254)),
+    "Meroe - close": (-4.527, -0.192, 44.011, (343.652, 800.906, 18.330)),
+    "Endeavor - bird": (-6.045, -0.713, 187.827, (597.671, 602.508, 493.795)),
+    "Endeavor - close": (-12.560, -0.018, 8.087, (600.751, 605.780, 508.563)),
+}
+
+
+def preset(name: str, **lens: float) -> Matrix:
+    """World-to-clip matrix of a named view."""
+    yaw, pitch, radius, target = PRESETS[name]
+    return orbit_view(yaw, pitch, radius, target, **lens)
+
+
+def eye_of(name: str) -> tuple[float, ...]:
+    """Where the eye of a named view is."""
+    yaw, pitch, radius, target = PRESETS[name]
+    return apply_numbers(orbit_world(yaw, pitch, radius, target), (0.0, 0.0, 0.0))[:3]

@@ -43,6 +43,24 @@ def scale(a: Vector, by: Column | float) -> Vector:
     return tuple(x * by for x in a)
 
 
+def multiply(a: Vector, b: Vector) -> Vector:
+    return tuple(x * y for x, y in zip(a, b, strict=True))
+
+
+def divide(a: Vector, b: Vector) -> Vector:
+    return tuple(x / y for x, y in zip(a, b, strict=True))
+
+
+def random_scalar(key: Column, seed: int = 0, low: float = 0.0, high: float = 1.0) -> Column:
+    """A number in [low, high) from the first 32 bits of a digest of key and seed: the same for the same row, however rows are dealt."""
+    bits = F.conv(F.substring(F.md5(F.concat_ws(":", key.cast("string"), F.lit(str(seed)))), 1, 8), 16, 10).cast("long")
+    return F.lit(low) + bits / F.lit(float(1 << 32)) * F.lit(high - low)
+
+
+def random_vector(key: Column, size: int = 3, seed: int = 0, low: float = 0.0, high: float = 1.0) -> Vector:
+    return tuple(random_scalar(key, seed * size + k, low, high) for k in range(size))
+
+
 def minimum(a: Vector, b: Vector) -> Vector:
     return tuple(F.least(x, y) for x, y in zip(a, b, strict=True))
 

@@ -10,14 +10,19 @@ Points here have pid, px, py, pz (28-bit lattice) and color.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from octolith.config import Cube, TreeConfig
-from octolith.functions.lattice import AXES, LATTICE, NODE, child_index, explode_levels, node_coordinate, voxel_coordinate
+from octolith.functions.lattice import AXES, LATTICE, NODE, child_index, node_coordinate, settled, voxel_coordinate
 
+Materialize = Callable[[DataFrame], DataFrame]
 #: Levels that are counted from one scan; only points below inner nodes go on to the next ones.
 LEVELS_PER_PASS = 7
+#: Levels of voxels that are made from the ones below at once; the next ones start from the coarsest of them.
+VOXEL_LEVELS_PER_PASS = 3
 
 
 def cell_counts(points: DataFrame, first: int, last: int) -> DataFrame:
@@ -29,31 +34,33 @@ def cell_counts(points: DataFrame, first: int, last: int) -> DataFrame:
     return cells.groupBy("level", *[F.call_function("shiftright", F.col(f"d{a}"), up).alias(f"n{a}") for a in AXES]).agg(F.sum("n").alias("n_points"))
 
 
-def node_counts(points: DataFrame, config: TreeConfig) -> DataFrame:
+def node_counts(points: DataFrame, config: TreeConfig, materialize: Materialize = lambda df: df) -> DataFrame:
     """(level, nx, ny, nz, n_points) of every occupied cell whose parent is inner, and of the root.
 
     The levels are worked off in passes: a pass counts up to LEVELS_PER_PASS levels from one scan, and the next one reads only
-    the points under inner cells of the last level so far, so that points in shallow leaves are never carried down.
+    the points under inner cells of the last level so far, so that points in shallow leaves are never carried down.  The counts of
+    a pass are read several times: ``materialize`` (a table in shared storage) keeps scans from multiplying.
     """
     out, rest, first = None, points, 0
     while True:
         last = min(first + LEVELS_PER_PASS - 1, config.max_depth)
-        counts = cell_counts(rest, first, last)
-        out = counts if out is None else out.unionByName(counts)
+        counts = materialize(cell_counts(rest, first, last))
+        inner = counts.filter((F.col("n_points") > config.max_points) & (F.col("level") < config.max_depth))
+        up = inner.select((F.col("level") + 1).alias("_l"), *[F.col(f"n{a}").alias(f"i{a}") for a in AXES])
+        on = [F.col("level") == F.col("_l"), *[F.call_function("shiftright", F.col(f"n{a}"), F.lit(1)) == F.col(f"i{a}") for a in AXES]]
+        # the first level of a later pass holds only cells under inner ones
+        here = counts.filter(F.col("level") > first).join(up, on, "left_semi").unionByName(counts.filter(F.col("level") == first))
+        out = here if out is None else out.unionByName(here)
         if last == config.max_depth:
-            break
-        inner = counts.filter((F.col("level") == last) & (F.col("n_points") > config.max_points)).select(*[F.col(f"n{a}").alias(f"i{a}") for a in AXES])
+            return out
+        inner = inner.filter(F.col("level") == last).select(*[F.col(f"n{a}").alias(f"i{a}") for a in AXES])
         on = [node_coordinate(F.col(c), last) == F.col(f"i{a}") for c, a in zip(LATTICE, AXES, strict=True)]
         rest, first = rest.join(inner, on, "left_semi"), last + 1
-    inner = out.filter((F.col("n_points") > config.max_points) & (F.col("level") < config.max_depth))
-    up = inner.select((F.col("level") + 1).alias("_l"), *[F.col(f"n{a}").alias(f"i{a}") for a in AXES])
-    on = [F.col("level") == F.col("_l"), *[F.call_function("shiftright", F.col(f"n{a}"), F.lit(1)) == F.col(f"i{a}") for a in AXES]]
-    return out.filter("level > 0").join(up, on, "left_semi").unionByName(out.filter("level = 0"))
 
 
-def nodes(points: DataFrame, config: TreeConfig) -> DataFrame:
+def nodes(points: DataFrame, config: TreeConfig, materialize: Materialize = lambda df: df) -> DataFrame:
     """(level, nx, ny, nz, n_points, is_inner): the root and all eight children of every inner node, empty ones included."""
-    counts = node_counts(points, config)
+    counts = node_counts(points, config, materialize)
     inner = counts.filter((F.col("n_points") > config.max_points) & (F.col("level") < config.max_depth))
     corner = F.explode(F.array(*[F.struct(*[F.lit(k >> b & 1).cast("long").alias(a) for a, b in zip(AXES, (2, 1, 0), strict=True)]) for k in range(8)])).alias("c")
     children = inner.select(F.col("level") + 1, *[f"n{a}" for a in AXES], corner).toDF("level", "nx", "ny", "nz", "c")
@@ -64,31 +71,63 @@ def nodes(points: DataFrame, config: TreeConfig) -> DataFrame:
     return whole.withColumn("is_inner", (F.col("n_points") > config.max_points) & (F.col("level") < config.max_depth))
 
 
-def _match(level_rows: DataFrame, some_nodes: DataFrame) -> DataFrame:
-    keys = some_nodes.select(*[F.col(c).alias(f"_{c}") for c in NODE])
-    return level_rows.join(keys, [F.col(c) == F.col(f"_{c}") for c in NODE]).drop(*[f"_{c}" for c in NODE])
+def with_leaf_level(points: DataFrame, tree: DataFrame, config: TreeConfig) -> DataFrame:
+    """Adds level, that of each point's leaf: the number of inner nodes on its path, found by bisection.
+
+    A cell is inner only if all above it are, so about log2(max_depth) equi-joins with the inner nodes do, with one row per point each: no point is
+    copied to every level, and Spark broadcasts the nodes where they are few.
+    """
+    inner = tree.filter("is_inner").select(F.col("level").alias("_l"), *[F.col(f"n{a}").alias(f"_{a}") for a in AXES], F.lit(True).alias("_in"))
+    rows, step = points.withColumn("level", F.lit(0)), 1 << max(0, config.max_depth.bit_length() - 1)
+    while step and config.max_depth:
+        at = F.col("level") + (step - 1)
+        rows = settled(rows, _at=at, **{f"_c{a}": node_coordinate(F.col(c), F.least(at, F.lit(config.max_depth))) for c, a in zip(LATTICE, AXES, strict=True)})
+        rows = rows.join(inner, [F.col("_at") == F.col("_l"), *[F.col(f"_c{a}") == F.col(f"_{a}") for a in AXES]], "left")
+        rows = rows.withColumn("level", F.col("level") + F.when(F.col("_in"), step).otherwise(0)).drop("_at", "_l", "_in", *[f"_{a}" for a in AXES], *[f"_c{a}" for a in AXES])
+        step >>= 1
+    return rows
 
 
 def leaf_points(points: DataFrame, tree: DataFrame, config: TreeConfig, *keep: str) -> DataFrame:
-    """Each point with its leaf.  Every path meets exactly one leaf, so an inner join does it without a group per point."""
-    rows = explode_levels(points, 0, config.max_depth, "pid", *keep)
-    return _match(rows, tree.filter(~F.col("is_inner")))
+    """Each point with its leaf."""
+    rows = with_leaf_level(points.select("pid", *keep, *LATTICE), tree, config)
+    return rows.select("pid", *keep, *LATTICE, "level", *[node_coordinate(F.col(c), F.col("level")).alias(f"n{a}") for c, a in zip(LATTICE, AXES, strict=True)])
 
 
 def point_ancestors(points: DataFrame, tree: DataFrame, config: TreeConfig, *keep: str) -> DataFrame:
     """Each point with every inner node above it."""
-    rows = explode_levels(points, 0, max(0, config.max_depth - 1), "pid", *keep)
-    return _match(rows, tree.filter("is_inner"))
+    rows = with_leaf_level(points.select("pid", *keep, *LATTICE), tree, config).filter("level > 0")
+    rows = rows.select("pid", *keep, *LATTICE, F.explode(F.sequence(F.lit(0), F.col("level") - 1)).alias("level"))
+    return rows.withColumns({f"n{a}": node_coordinate(F.col(c), F.col("level")) for c, a in zip(LATTICE, AXES, strict=True)})
+
 
+def voxels(points: DataFrame, tree: DataFrame, config: TreeConfig, materialize: Materialize = lambda df: df) -> DataFrame:
+    """(node, vx, vy, vz, first_pid, color): distinct grid cells of inner nodes, coloured by the point with the smallest pid.
 
-def voxels(points: DataFrame, tree: DataFrame, config: TreeConfig) -> DataFrame:
-    """(node, vx, vy, vz, first_pid, color): distinct grid cells of inner nodes, coloured by the point with the smallest pid."""
-    rows = point_ancestors(points, tree, config, "color")
-    global_ = [voxel_coordinate(F.col(c), F.col("level"), config.grid_bits).alias(f"g{a}") for c, a in zip(LATTICE, AXES, strict=True)]
-    cells = rows.select("level", *global_, "pid", "color").groupBy("level", *[f"g{a}" for a in AXES]).agg(F.min(F.struct("pid", "color")).alias("first"))
+    A point is counted once, in a cell of its leaf's parent; coarser cells are made from finer ones (the first of the firsts), a few levels at a
+    time from the deepest up, so the rows shrink with the cells and no point is copied to every level.
+    """
+    g = [f"g{a}" for a in AXES]
+    leaves = with_leaf_level(points.select("pid", "color", *LATTICE), tree, config).filter("level > 0").withColumn("level", F.col("level") - 1)
+    cells = leaves.select("level", *[voxel_coordinate(F.col(c), F.col("level"), config.grid_bits).alias(x) for c, x in zip(LATTICE, g, strict=True)], "pid", "color")
+    cells = materialize(cells.groupBy("level", *g).agg(F.min(F.struct("pid", "color")).alias("first")))
+    out, carried, high = None, None, config.max_depth - 1
+    while high >= 0:
+        low = max(0, high - VOXEL_LEVELS_PER_PASS + 1)
+        here = cells.filter(F.col("level").between(low, high))
+        here = here if carried is None else here.unionByName(carried)
+        up = here.select(F.explode(F.sequence(F.lit(low), F.col("level"))).alias("to"), "level", *g, "first")
+        up = up.select(F.col("to").alias("level"), *[F.call_function("shiftright", F.col(x), F.col("level") - F.col("to")).alias(x) for x in g], "first")
+        up = up.groupBy("level", *g).agg(F.min("first").alias("first"))
+        up = materialize(up) if low else up
+        out = up if out is None else out.unionByName(up)
+        carried = up.filter(F.col("level") == low).select((F.col("level") - 1).alias("level"), *[F.shiftright(x, 1).alias(x) for x in g], "first")
+        high = low - 1
+    if out is None:
+        out = cells
     node = [F.shiftright(f"g{a}", config.grid_bits).alias(f"n{a}") for a in AXES]
     inside = [F.col(f"g{a}").bitwiseAND(F.lit(config.grid - 1)).alias(f"v{a}") for a in AXES]
-    return cells.select("level", *node, *inside, F.col("first.pid").alias("first_pid"), F.col("first.color").alias("color"))
+    return out.select("level", *node, *inside, F.col("first.pid").alias("first_pid"), F.col("first.color").alias("color"))
 
 
 def voxel_index(config: TreeConfig) -> F.Column:
@@ -111,7 +150,12 @@ def with_voxel_counts(tree: DataFrame, some: DataFrame) -> DataFrame:
     """Adds n_voxels and n_stored (points that the node itself owns) to nodes."""
     counted = voxel_counts(some).select(*[F.col(c).alias(f"_{c}") for c in NODE], "n_voxels")
     out = tree.join(counted, [F.col(c) == F.col(f"_{c}") for c in NODE], "left").drop(*[f"_{c}" for c in NODE])
-    return out.withColumns({"n_voxels": F.coalesce("n_voxels", F.lit(0)), "n_stored": F.when(F.col("is_inner"), 0).otherwise(F.col("n_points"))})
+    return with_stored(out.withColumn("n_voxels", F.coalesce("n_voxels", F.lit(0))))
+
+
+def with_stored(tree: DataFrame) -> DataFrame:
+    """Adds n_stored, the points that a node itself owns."""
+    return tree.withColumn("n_stored", F.when(F.col("is_inner"), 0).otherwise(F.col("n_points")))
 
 
 def chunk_slots(leaves: DataFrame, config: TreeConfig) -> DataFrame:

@@ -62,11 +62,20 @@ def cell_index(grid: Grid, x: Column, y: Column) -> Column:
     return F.lit(level_offset(grid.levels)) + interleave(cx, cy, grid.levels)
 
 
-def subtile_index(grid: Grid, x: Column, y: Column, tile_level: int) -> Column:
-    """The same number, when the index is one tile of a larger tree: the tile's path is the upper part."""
-    if not 0 <= tile_level <= grid.levels:
-        raise ValueError("a tile lies between the root and the cells")
-    return cell_index(grid, x, y)
+def subtile_index(grid: Grid, x: Column, y: Column, tile: int, tile_level: int) -> Column:
+    """A cell's number in the index of one tile (a cell of level ``tile_level``) of a larger tree: levels count from the tile. Null outside the tile."""
+    if not 0 <= tile_level <= grid.levels or not level_offset(tile_level) <= tile < level_offset(tile_level + 1):
+        raise ValueError("a tile is a cell between the root and the finest level")
+    deep = grid.levels - tile_level
+    path = cell_index(grid, x, y) - F.lit(level_offset(grid.levels))
+    inside = F.shiftright(path, 2 * deep) == F.lit(tile - level_offset(tile_level))
+    return F.when(inside, F.lit(level_offset(deep)) + path.bitwiseAND(F.lit((1 << 2 * deep) - 1).cast("long")))
+
+
+def whole_index(grid: Grid, cell: Column, tile: int, tile_level: int) -> Column:
+    """The number in the whole tree of a cell of the finest level of a tile's index."""
+    deep = grid.levels - tile_level
+    return F.lit(level_offset(grid.levels) + ((tile - level_offset(tile_level)) << 2 * deep)).cast("long") + (cell - F.lit(level_offset(deep)))
 
 
 def tile_of(grid: Grid, cell: Column, tile_level: int) -> Column:
@@ -95,7 +104,7 @@ def union_intervals(some: DataFrame) -> DataFrame:
     """(start, end): intervals of several cells as one set, overlapping and adjacent ones joined.
 
     Points belong to one cell each, but intervals of different cells may overlap, as gaps below the threshold belong to them.
-    A stretch of blocks is joined on its own first, so the last step sees few rows.
+    Stretches of numbers are joined on their own first, then longer ones, so the last step sees what is left apart in stretches of 6 * 10^10 numbers.
     """
     def joined(rows: DataFrame, keys: list[str]) -> DataFrame:
         w = Window.partitionBy(*keys).orderBy("start", "end")
@@ -104,8 +113,10 @@ def union_intervals(some: DataFrame) -> DataFrame:
         rows = rows.withColumn("_island", F.sum("_new").over(w))
         return rows.groupBy(*keys, "_island").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("_island")
 
-    first = joined(some.select("start", "end", F.floor(F.col("start") / (PID_BLOCK * 64)).alias("_block")), ["_block"])
-    return joined(first.select("start", "end"), [])
+    rows = some.select("start", "end")
+    for width in (PID_BLOCK * 64, PID_BLOCK * 64 * 1024, PID_BLOCK * 64 * 1024 * 1024):
+        rows = joined(rows.select("start", "end", F.floor(F.col("start") / width).alias("_block")), ["_block"]).select("start", "end")
+    return joined(rows, [])
 
 
 def keep_largest_gaps(some: DataFrame, maximum: int) -> DataFrame:
@@ -197,11 +208,25 @@ def in_circle(x: float, y: float, radius: float) -> Column:
 
 
 def points_of(points: DataFrame, some: DataFrame) -> DataFrame:
-    """Points whose pid lies in an interval: an equality on blocks of pid, then the bounds.  A semi-join: overlapping intervals give no duplicates."""
-    blocks = F.explode(F.sequence(F.floor(F.col("start") / PID_BLOCK), F.floor(F.col("end") / PID_BLOCK))).alias("_block")
-    spans = some.select("start", "end", blocks)
-    rows = points.withColumn("_at", F.floor(F.col("pid") / PID_BLOCK))
-    return rows.join(spans, (F.col("_at") == F.col("_block")) & F.col("pid").between(F.col("start"), F.col("end")), "left_semi").drop("_at")
+    """Points whose pid lies in an interval: an equality on blocks of pid, then the bounds.  A semi-join: overlapping intervals give no duplicates.
+
+    Blocks grow with the interval (by powers of 64, a block is as long as the interval at least), so an interval is two rows at most, and a point asks for
+    the blocks of each size that intervals have: two small joins' worth of keys, not one row per block of a long run.
+    """
+    size, steps = F.lit(0), 6
+    for k in range(1, steps):
+        size = F.when(F.col("end") - F.col("start") >= PID_BLOCK * 64 ** (k - 1), k).otherwise(size)
+    width = F.element_at(F.array(*[F.lit(PID_BLOCK * 64**k) for k in range(steps)]), F.col("_size") + 1)
+    spans = some.select("start", "end", size.alias("_size")).withColumn("_width", width)
+    spans = spans.select("start", "end", "_size", F.explode(F.sequence(F.floor(F.col("start") / F.col("_width")), F.floor(F.col("end") / F.col("_width")))).alias("_block"))
+    sizes = sorted(r[0] for r in spans.select("_size").distinct().collect())  # six at most
+    found = None
+    for k in sizes:
+        rows = points.withColumn("_at", F.floor(F.col("pid") / (PID_BLOCK * 64**k)))
+        here = spans.filter(F.col("_size") == k)
+        hit = rows.join(here, (F.col("_at") == F.col("_block")) & F.col("pid").between(F.col("start"), F.col("end")), "left_semi").drop("_at")
+        found = hit if found is None else found.unionByName(hit)
+    return found.dropDuplicates(["pid"]) if len(sizes) > 1 else points.filter(F.lit(False)) if found is None else found
 
 
 def query(points: DataFrame, index: DataFrame, grid: Grid, meets: Column, inside: Column) -> DataFrame:

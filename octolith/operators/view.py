@@ -49,37 +49,43 @@ def with_extent(rows: DataFrame, view: View) -> DataFrame:
 
 
 def with_visibility(nodes: DataFrame, view: View, cube: Cube) -> DataFrame:
-    """Adds intersects, is_large and visible to nodes with n_stored and n_voxels."""
+    """Adds intersects, is_large and visible to nodes.  An inner node has points below it, so it has voxels: they need not be made to know."""
     out = with_extent(with_boxes(nodes, cube), view).withColumn("intersects", in_frustum(view))
     large = (F.col("_dx") > 2.0 * view.min_node_size) | (F.col("_dy") > 2.0 * view.min_node_size)
-    samples = (F.col("n_stored") > 0) | (F.col("n_voxels") > 0)
+    samples = F.col("is_inner") | (F.col("n_points") > 0)
     return out.withColumns({"is_large": large, "visible": F.col("intersects") & samples})
 
 
+def _listed(rows: DataFrame) -> DataFrame:
+    """(node, kind, n_stored[, n_voxels])."""
+    counts = [c for c in ("n_voxels",) if c in rows.columns]
+    return rows.select(*NODE, kind().alias("kind"), F.when(F.col("is_inner"), 0).otherwise(F.col("n_points")).alias("n_stored"), *counts)
+
+
 def kind() -> Column:
-    return F.when(F.col("n_stored") > 0, "leaf").otherwise("inner")
+    return F.when(F.col("is_inner"), "inner").otherwise("leaf")
 
 
 def visible_disjoint(nodes: DataFrame, view: View, cube: Cube, with_root: bool = False) -> DataFrame:
-    """(node, kind, n_stored, n_voxels): small visible children of large inner nodes, and large visible leaves.
+    """(node, kind, n_stored, n_voxels if the nodes have it): small visible children of large inner nodes, and large visible leaves.
 
     ``with_root`` also takes a root that is not large, of which otherwise nothing is drawn.
     """
-    rows = with_visibility(nodes, view, cube).select(*NODE, "is_inner", "n_stored", "n_voxels", "is_large", "visible")
+    rows = with_visibility(nodes, view, cube).select(*NODE, "is_inner", "n_points", *[c for c in ("n_voxels",) if c in nodes.columns], "is_large", "visible")
     parents = rows.filter("is_large AND is_inner").select((F.col("level") + 1).alias("_l"), *[F.col(f"n{a}").alias(f"_{a}") for a in AXES])
     small = rows.filter("NOT is_large AND visible AND level > 0")
     on = [F.col("level") == F.col("_l"), *[F.shiftright(f"n{a}", 1) == F.col(f"_{a}") for a in AXES]]
     out = small.join(parents, on, "left_semi").unionByName(rows.filter("is_large AND visible AND NOT is_inner"))
     if with_root:
         out = out.unionByName(rows.filter("level = 0 AND NOT is_large AND visible"))
-    return out.select(*NODE, kind().alias("kind"), "n_stored", "n_voxels")
+    return _listed(out)
 
 
 def visible_additive(nodes: DataFrame, view: View, cube: Cube) -> DataFrame:
     """Every node in view that is at least min_node_size wide and high."""
     rows = with_visibility(nodes, view, cube)
     keep = F.col("visible") & ~((F.col("_dx") < view.min_node_size) | (F.col("_dy") < view.min_node_size))
-    return rows.filter(keep).select(*NODE, kind().alias("kind"), "n_stored", "n_voxels")
+    return _listed(rows.filter(keep))
 
 
 def visibility_stats(visible: DataFrame) -> DataFrame:

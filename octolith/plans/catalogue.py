@@ -46,11 +46,12 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 def _tree(points: str, c: TreeConfig) -> str:
     return f"""WITH {points},
 k AS (SELECT pts.*, l::INTEGER AS level, px >> (28 - l) AS nx, py >> (28 - l) AS ny, pz >> (28 - l) AS nz FROM pts, range(0, {c.max_depth + 1}) AS t(l)),
-counts AS (SELECT level, nx, ny, nz, count(*) AS n FROM k GROUP BY ALL),
+counts AS MATERIALIZED (SELECT level, nx, ny, nz, count(*) AS n FROM k GROUP BY ALL),
 inn AS (SELECT * FROM counts WHERE n > {c.max_points} AND level < {c.max_depth}),
-slots AS (SELECT (level + 1)::INTEGER AS level, nx * 2 + a AS nx, ny * 2 + b AS ny, nz * 2 + d AS nz FROM inn, range(0, 2) AS x(a), range(0, 2) AS y(b), range(0, 2) AS z(d)
+slots AS (SELECT (level + 1)::INTEGER AS level, nx * 2 + (c >> 2) AS nx, ny * 2 + (c >> 1) % 2 AS ny, nz * 2 + c % 2 AS nz FROM (SELECT *, unnest([0, 1, 2, 3, 4, 5, 6, 7]) AS c FROM inn)
           UNION ALL SELECT 0, 0, 0, 0),
-tree AS (SELECT s.*, coalesce(n, 0) AS n_points, coalesce(n, 0) > {c.max_points} AND level < {c.max_depth} AS is_inner FROM slots s LEFT JOIN counts USING (level, nx, ny, nz)),
+tree AS (SELECT level, nx, ny, nz, sum(n)::BIGINT AS n_points, sum(n) > {c.max_points} AND level < {c.max_depth} AS is_inner
+         FROM (SELECT *, 0 AS n, 1 AS slot FROM slots UNION ALL SELECT *, 0 FROM counts) GROUP BY level, nx, ny, nz HAVING max(slot) = 1),
 leaves AS (SELECT k.* FROM k JOIN tree USING (level, nx, ny, nz) WHERE NOT is_inner),
 anc AS (SELECT k.* FROM k JOIN tree USING (level, nx, ny, nz) WHERE is_inner),
 vox AS (SELECT level, nx, ny, nz, (px >> (28 - {c.grid_bits} - level)) % {c.grid} AS vx, (py >> (28 - {c.grid_bits} - level)) % {c.grid} AS vy, (pz >> (28 - {c.grid_bits} - level)) % {c.grid} AS vz,
@@ -107,16 +108,16 @@ _RUNS = _CELLS + """, runs AS (SELECT cell, min(pid) AS start, max(pid) AS "end"
 
 def _events_tree(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     points = event_points(spark, d)
-    return points, stored(octree.nodes(points, SMALL), "nodes")
+    return points, stored(octree.nodes(points, SMALL, stored), "nodes")
 
 
 def _lines_tree(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     points = line_points(spark, d)
-    return points, stored(octree.nodes(points, WIDE), "nodes")
+    return points, stored(octree.nodes(points, WIDE, stored), "nodes")
 
 
 def _with_voxels(points: DataFrame, tree: DataFrame, config: TreeConfig) -> tuple[DataFrame, DataFrame]:
-    some = stored(octree.voxels(points, tree, config), "voxels")
+    some = stored(octree.voxels(points, tree, config, stored), "voxels")
     return some, stored(octree.with_voxel_counts(tree, some), "nodes")
 
 
@@ -141,7 +142,7 @@ def _(spark, d):
 
 @query("node_counts", _tree(LINES, WIDE) + "SELECT level, nx, ny, nz, n AS n_points FROM counts c WHERE level = 0 OR EXISTS (SELECT 1 FROM inn i WHERE i.level = c.level - 1 AND i.nx = c.nx // 2 AND i.ny = c.ny // 2 AND i.nz = c.nz // 2)")
 def _(spark, d):
-    return octree.node_counts(line_points(spark, d), WIDE)
+    return octree.node_counts(line_points(spark, d), WIDE, stored)
 
 
 @query("cell_counts", f"WITH {LINES} SELECT l::INTEGER AS level, px >> (28 - l) AS nx, py >> (28 - l) AS ny, pz >> (28 - l) AS nz, count(*) AS n_points FROM pts, range(0, 6) AS t(l) GROUP BY ALL")
@@ -151,7 +152,7 @@ def _(spark, d):
 
 @query("octree_nodes", _tree(LINES, WIDE) + "SELECT * FROM tree")
 def _(spark, d):
-    return octree.nodes(line_points(spark, d), WIDE)
+    return octree.nodes(line_points(spark, d), WIDE, stored)
 
 
 @query("leaf_assignment", _tree(EVENTS, SMALL) + "SELECT pid, level, nx, ny, nz FROM leaves")
@@ -175,13 +176,13 @@ def _(spark, d):
 @query("voxels_first_color", _tree(EVENTS, SMALL) + "SELECT * FROM vox")
 def _(spark, d):
     points, tree = _events_tree(spark, d)
-    return octree.voxels(points, tree, SMALL)
+    return octree.voxels(points, tree, SMALL, stored)
 
 
 @query("voxel_counts", _tree(LINES, WIDE) + "SELECT level, nx, ny, nz, count(*) AS n_voxels FROM vox GROUP BY ALL")
 def _(spark, d):
     points, tree = _lines_tree(spark, d)
-    return octree.voxel_counts(octree.voxels(points, tree, WIDE))
+    return octree.voxel_counts(octree.voxels(points, tree, WIDE, stored))
 
 
 @query(
@@ -190,7 +191,7 @@ def _(spark, d):
 )
 def _(spark, d):
     points, tree = _events_tree(spark, d)
-    some = octree.voxel_centres(octree.voxels(points, tree, SMALL), SMALL, CUBE)
+    some = octree.voxel_centres(octree.voxels(points, tree, SMALL, stored), SMALL, CUBE)
     return some.select(*NODE, "vx", "vy", "vz", octree.voxel_index(SMALL).alias("idx"), *AXES)
 
 
@@ -222,7 +223,7 @@ def _samples(points: DataFrame, tree: DataFrame, some: DataFrame) -> DataFrame:
 @query("drawable_samples", _tree(EVENTS, SMALL) + _SAMPLES + "SELECT * FROM samples")
 def _(spark, d):
     points, tree = _events_tree(spark, d)
-    return _samples(points, tree, octree.voxels(points, tree, SMALL))
+    return _samples(points, tree, octree.voxels(points, tree, SMALL, stored))
 
 
 @query("parent_child", _tree(LINES, WIDE) + "SELECT level, nx, ny, nz, nx // 2 AS parent_x, ny // 2 AS parent_y, nz // 2 AS parent_z, (nx % 2) * 4 + (ny % 2) * 2 + nz % 2 AS child FROM tree WHERE level > 0")
@@ -233,30 +234,25 @@ def _(spark, d):
 # views -----------------------------------------------------------------------------------------------
 
 
-def _seen(spark, d, v: View = DEEP) -> tuple[DataFrame, DataFrame]:
-    points, tree = _lines_tree(spark, d)
-    return tree, _with_voxels(points, tree, WIDE)[1]
-
-
 @query("node_frustum", _tree(LINES, WIDE) + _visible(DEEP) + "SELECT level, nx, ny, nz, x0 AS min_x, z1 AS max_z, intersects FROM flags")
 def _(spark, d):
-    rows = view.with_visibility(_seen(spark, d)[1], DEEP, CUBE)
+    rows = view.with_visibility(_lines_tree(spark, d)[1], DEEP, CUBE)
     return rows.select(*NODE, "min_x", "max_z", "intersects")
 
 
 @query("node_screen_size", _tree(LINES, WIDE) + _visible(DEEP) + "SELECT level, nx, ny, nz, is_large FROM flags")
 def _(spark, d):
-    return view.with_visibility(_seen(spark, d)[1], DEEP, CUBE).select(*NODE, "is_large")
+    return view.with_visibility(_lines_tree(spark, d)[1], DEEP, CUBE).select(*NODE, "is_large")
 
 
 @query("visible_nodes_disjunct", _tree(LINES, WIDE) + _visible(DEEP) + "SELECT level, nx, ny, nz, kind FROM vis")
 def _(spark, d):
-    return view.visible_disjoint(_seen(spark, d)[1], DEEP, CUBE).select(*NODE, "kind")
+    return view.visible_disjoint(_lines_tree(spark, d)[1], DEEP, CUBE).select(*NODE, "kind")
 
 
 @query("visible_nodes_additive", _tree(LINES, WIDE) + _visible(DEEP) + "SELECT level, nx, ny, nz FROM flags WHERE visible AND NOT (dx < 4 OR dy < 4)")
 def _(spark, d):
-    return view.visible_additive(_seen(spark, d)[1], DEEP, CUBE).select(*NODE)
+    return view.visible_additive(_lines_tree(spark, d)[1], DEEP, CUBE).select(*NODE)
 
 
 @query(
@@ -264,7 +260,8 @@ def _(spark, d):
     _tree(LINES, WIDE) + _visible(DEEP) + "SELECT count(*) AS n_visible, sum((kind = 'leaf')::BIGINT)::BIGINT AS n_leaves, sum((kind = 'inner')::BIGINT)::BIGINT AS n_inner, sum(CASE WHEN kind = 'leaf' THEN n_stored ELSE 0 END)::BIGINT AS n_points, sum(CASE WHEN kind = 'inner' THEN n_voxels ELSE 0 END)::BIGINT AS n_voxels FROM vis",
 )
 def _(spark, d):
-    return view.visibility_stats(view.visible_disjoint(_seen(spark, d)[1], DEEP, CUBE))
+    points, tree = _lines_tree(spark, d)
+    return view.visibility_stats(view.visible_disjoint(_with_voxels(points, tree, WIDE)[1], DEEP, CUBE))
 
 
 @query(
@@ -340,7 +337,18 @@ def _(spark, d):
     return raster.clear(spark, DEEP).select("px", "py", "color")
 
 
-@query("image_edl")
+def _edl_sql() -> str:
+    w, last = DEEP.width, DEEP.width * DEEP.height - 1
+    shade = f"exp(-(sum(CASE WHEN a.own = b.own THEN 0.0::DOUBLE ELSE greatest(a.own - b.own, 0.0::DOUBLE) END) / {raster.EDL_NORM}::DOUBLE) * 300.0::DOUBLE * {raster.EDL_STRENGTH}::DOUBLE)"
+    channels = [f"trunc(shade * ((color >> {s}) & 255))::BIGINT" for s in (0, 8, 16)]
+    return f""", near AS ({_NEAREST}),
+image AS (SELECT i AS spot, coalesce(log2(depth), 'inf'::DOUBLE) AS own, coalesce(color, {colors.BACKGROUND}) AS color FROM range(0, {last + 1}) AS t(i) LEFT JOIN near ON px + py * {w} = i),
+shaded AS (SELECT a.spot AS spot, any_value(a.color) AS color, {shade} AS shade
+    FROM (SELECT *, greatest(0, least({last}, spot + unnest([1, -1, {w}, -{w}]))) AS other FROM image) a JOIN image b ON a.other = b.spot GROUP BY a.spot)
+SELECT (spot % {w})::INTEGER AS px, (spot // {w})::INTEGER AS py, {channels[0]} + {channels[1]} * 256 + {channels[2]} * 65536 + 4278190080 AS color FROM shaded"""
+
+
+@query("image_edl", f"WITH {EVENTS}" + _frags("pts", DEEP) + _edl_sql())
 def _(spark, d):
     return raster.shaded(raster.filled(raster.nearest(raster.fragments(event_points(spark, d), DEEP)), DEEP), DEEP)
 
@@ -351,10 +359,22 @@ def _(spark, d):
     return raster.nearest(raster.line_fragments(edges, DEEP))
 
 
-@query("frustum_lines")
+def _frustum_sql() -> str:
+    """The far side's and the four long edges' ends, taken back to the world by the inverse matrix."""
+    back, far = camera.inverse(DEEP.update_transform), 0.99995
+    ends = [(x, y, z) for x, y in ((1, 1), (1, -1), (-1, 1), (-1, -1)) for z in (-1.0, far)]
+    ends += [(x, y, far) for y in (-1, 1) for x in (-1, 1)] + [(x, y, far) for x in (-1, 1) for y in (-1, 1)]
+    rows = ", ".join(f"({k // 2}, {k % 2}, {x}::DOUBLE, {y}::DOUBLE, {z}::DOUBLE)" for k, (x, y, z) in enumerate(ends))
+    x, y, z, w = _apply(back, "x", "y", "z")
+    both = ", ".join(f"round(max({a}) FILTER (stop = {e}), 3) AS {a}{e}" for e in (0, 1) for a in AXES)
+    return f"SELECT line::INTEGER AS line, {both} FROM (SELECT line, stop, {x} / {w} AS x, {y} / {w} AS y, {z} / {w} AS z FROM (VALUES {rows}) AS t(line, stop, x, y, z)) GROUP BY line"
+
+
+@query("frustum_lines", _frustum_sql())
 def _(spark, d):
+    names = [f"{a}{e}" for e in (0, 1) for a in AXES]
     rows = [(k, *map(float, a), *map(float, b)) for k, (a, b) in enumerate(raster.frustum_lines(DEEP))]
-    return spark.createDataFrame(rows, "line int, " + ", ".join(f"{a}{e} double" for e in (0, 1) for a in AXES))
+    return spark.createDataFrame(rows, "line int, " + ", ".join(f"{n} double" for n in names)).select("line", *[F.round(n, 3).alias(n) for n in names])
 
 
 _LOD = "CASE greatest(0, least(7, trunc((8 - level) * 1.8::DOUBLE)::INTEGER)) " + " ".join(f"WHEN {k} THEN {c}" for k, c in enumerate(colors.SPECTRAL)) + " END"
@@ -376,18 +396,40 @@ SELECT gx, gy, gz, ({_MEAN.format(s=0)} + {_MEAN.format(s=8)} * 256 + {_MEAN.for
 def _(spark, d):
     points, tree = _events_tree(spark, d)
     leaves = octree.leaf_points(points, tree, SMALL, "color")
-    finer = octree.voxels(points, tree, SMALL).filter("level = 3").select(*[(F.col(f"n{a}") * 16 + F.col(f"v{a}")).alias(f"g{a}") for a in AXES], "color")
+    finer = octree.voxels(points, tree, SMALL, stored).filter("level = 3").select(*[(F.col(f"n{a}") * 16 + F.col(f"v{a}")).alias(f"g{a}") for a in AXES], "color")
     return colorfilter.filter_level(leaves, finer, 2, SMALL)
 
 
-@query("color_filter")
+def _filter_sql(c: TreeConfig) -> str:
+    """Level after level, deepest first."""
+    out, free = "", 28 - c.grid_bits
+    for k in range(c.max_depth - 1, -1, -1):
+        finer = "" if k == c.max_depth - 1 else f" UNION ALL SELECT gx >> 1, gy >> 1, gz >> 1, color FROM m{k + 1}"
+        out += f""", m{k} AS (SELECT gx, gy, gz, ({_MEAN.format(s=0)} + {_MEAN.format(s=8)} * 256 + {_MEAN.format(s=16)} * 65536 + 4278190080)::BIGINT AS color
+    FROM (SELECT px >> {free - k} AS gx, py >> {free - k} AS gy, pz >> {free - k} AS gz, color FROM leaves WHERE level = {k + 1}{finer}) GROUP BY gx, gy, gz)"""
+    node = ", ".join(f"g{a} >> {c.grid_bits} AS n{a}" for a in AXES) + ", " + ", ".join(f"g{a} % {c.grid} AS v{a}" for a in AXES)
+    return out + " UNION ALL ".join(f" SELECT {k}::INTEGER AS level, {node}, color FROM m{k}" for k in range(c.max_depth))
+
+
+@query("color_filter", _tree(EVENTS, SMALL) + _filter_sql(SMALL))
 def _(spark, d):
     points, tree = _events_tree(spark, d)
     leaves = stored(octree.leaf_points(points, tree, SMALL, "color"), "leaves")
     return colorfilter.filter_colors(leaves, SMALL, materialize=stored)
 
 
-@query("nested_samples")
+def _nested_sql(c: TreeConfig) -> str:
+    """Level after level from the root: the first of each free cell stays, the others go on."""
+    out, free = ", r0 AS (SELECT pid, px, py, pz FROM pts)", 28 - c.grid_bits
+    for k in range(c.max_depth + 1):
+        at = " AND ".join(f"t.n{a} = r.p{a} >> {28 - k}" for a in AXES)
+        out += f""", a{k} AS (SELECT r.*, t.level, t.nx, t.ny, t.nz, t.is_inner FROM r{k} r JOIN tree t ON t.level = {k} AND {at}),
+f{k} AS (SELECT min(pid) AS pid FROM a{k} WHERE is_inner GROUP BY {", ".join(f"p{a} >> {free - k}" for a in AXES)}),
+r{k + 1} AS (SELECT pid, px, py, pz FROM a{k} ANTI JOIN f{k} USING (pid) WHERE is_inner)"""
+    return out + " UNION ALL ".join(f" SELECT pid, level, nx, ny, nz FROM a{k} WHERE NOT is_inner UNION ALL SELECT pid, level, nx, ny, nz FROM a{k} SEMI JOIN f{k} USING (pid)" for k in range(c.max_depth + 1))
+
+
+@query("nested_samples", _tree(EVENTS, SMALL) + _nested_sql(SMALL))
 def _(spark, d):
     points, tree = _events_tree(spark, d)
     return nested.nested_samples(points, tree, SMALL, stored)
@@ -494,10 +536,10 @@ def _(spark, d):
 
 @query(
     "interval_union",
-    _RUNS + """ SELECT min(start) AS start, max("end") AS "end" FROM (SELECT *, sum(new) OVER (ORDER BY start, "end") AS island FROM (SELECT *, CASE WHEN start <= max("end") OVER (ORDER BY start, "end" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + 1 THEN 0 ELSE 1 END AS new FROM runs WHERE cell % 7 = 3)) GROUP BY island""",
+    _RUNS + """ SELECT min(start) AS start, max("end") AS "end" FROM (SELECT *, sum(new) OVER (ORDER BY start, "end") AS island FROM (SELECT *, CASE WHEN start <= max("end") OVER (ORDER BY start, "end" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + 1 THEN 0 ELSE 1 END AS new FROM runs)) GROUP BY island""",
 )
 def _(spark, d):
-    return si.union_intervals(si.intervals(_cells(spark, d), 100).filter("cell % 7 = 3"))
+    return si.union_intervals(si.intervals(_cells(spark, d), 100))
 
 
 _STEP = _CELLS + f""", n AS (SELECT cell, count(*) AS n FROM cells GROUP BY cell), p AS (SELECT cell, n, ((cell - {si.level_offset(4)}) >> 2) + {si.level_offset(3)} AS parent FROM n),
@@ -510,7 +552,17 @@ def _(spark, d):
     return si.coarsen_step(_cells(spark, d).groupBy("cell").agg(F.count(F.lit(1)).alias("n")), 4, 200)
 
 
-@query("cell_coarsen")
+def _coarsen_sql(levels: int, minimum: int) -> str:
+    out = _CELLS + ", c0 AS (SELECT cell, count(*) AS n FROM cells GROUP BY cell)"
+    for k, level in enumerate(range(levels, 0, -1)):
+        here = f"cell BETWEEN {si.level_offset(level)} AND {si.level_offset(level + 1) - 1}"
+        out += f""", p{k} AS (SELECT cell, n, ((cell - {si.level_offset(level)}) >> 2) + {si.level_offset(level - 1)} AS parent FROM c{k} WHERE {here}),
+m{k} AS (SELECT parent, sum(n)::BIGINT AS n FROM p{k} GROUP BY parent HAVING count(*) = 4 AND sum(n) < {minimum}),
+c{k + 1} AS (SELECT parent AS cell, n FROM m{k} UNION ALL SELECT cell, n FROM p{k} ANTI JOIN m{k} USING (parent) UNION ALL SELECT cell, n FROM c{k} WHERE NOT ({here}))"""
+    return out + f" SELECT cell, n FROM c{levels}"
+
+
+@query("cell_coarsen", _coarsen_sql(4, 400))
 def _(spark, d):
     return si.coarsen(_cells(spark, d).groupBy("cell").agg(F.count(F.lit(1)).alias("n")), 4, 400, stored)
 

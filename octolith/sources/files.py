@@ -60,14 +60,18 @@ def meets_box(low: tuple[float, float], high: tuple[float, float]) -> Column:
 
 
 def read_points(spark: SparkSession, paths: Sequence[str], **options: str) -> DataFrame:
-    """(pid, x, y, z, r, g, b, a) of all files; pid runs on from file to file."""
-    found, out, start = existing(paths), None, 0
-    box = file_table(spark, found).agg(*[F.min(f"min_{a}").alias(a) for a in "xyz"]).first() if found else None
-    for p in found:
-        rows = READERS[suffix(p)](spark, p, translate="false", **options).select(*COMMON)
-        rows = rows.withColumns({"pid": F.col("pid") + start} | {a: F.col(a) - float(box[a]) for a in "xyz"})
+    """(pid, x, y, z, r, g, b, a) of all files; pid runs on from file to file.  One scan per kind of file, however many files there are."""
+    found = file_table(spark, paths).collect()  # one row per file
+    low = ",".join(repr(min(getattr(r, f"min_{a}") for r in found)) for a in "xyz") if found else ""
+    by, at = {}, 0
+    for r in found:
+        some = by.setdefault(READERS[suffix(r.path)], ([], []))
+        some[0].append(r.path), some[1].append(str(at))
+        at += r.n_points
+    out = None
+    for reader, (these, starts) in by.items():
+        rows = reader(spark, *these, starts=",".join(starts), low=low, **options).select(*COMMON)
         out = rows if out is None else out.unionByName(rows)
-        start += las.read_header(p).n_points if suffix(p) in (".las", ".laz") else xyzrgba.read_box(p)[2]
     return out if out is not None else spark.createDataFrame([], "pid long, x double, y double, z double, r int, g int, b int, a int")
 
 
@@ -83,10 +87,17 @@ def within_budget(points: DataFrame, max_points: int) -> DataFrame:
 
 
 def read_obj(spark: SparkSession, path: str) -> DataFrame:
-    """(face, corner, x, y, z, u, v): triangles of a mesh of ``v``, ``vt`` and ``f a/b`` lines, numbered from 1."""
-    lines = spark.read.option("wholetext", "true").text(path).select(F.posexplode(F.split("value", r"\r?\n")).alias("line", "text"))
-    parts = lines.select("line", F.split(F.trim("text"), r"\s+").alias("w")).withColumn("kind", F.col("w")[0]).filter(F.col("kind").isin("v", "vt", "f"))
-    numbered = parts.withColumn("n", F.row_number().over(Window.partitionBy("kind").orderBy("line")))
+    """(face, corner, x, y, z, u, v): triangles of a mesh of ``v``, ``vt`` and ``f a/b`` lines, numbered from 1.
+
+    Lines are read in splits of the file and numbered by their place: each split on its own, from how many of a kind the splits before it hold.
+    """
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"))
+    parts = lines.select("block", "line", F.split(F.trim(F.regexp_replace("value", "\r$", "")), r"\s+").alias("w")).withColumn("kind", F.col("w")[0]).filter(F.col("kind").isin("v", "vt", "f"))
+    counts = parts.groupBy("kind", "block").agg(F.count(F.lit(1)).alias("c"))
+    before = F.coalesce(F.sum("c").over(Window.partitionBy("kind").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = counts.select(F.col("kind").alias("_kind"), F.col("block").alias("_block"), before.alias("start"))
+    place = F.row_number().over(Window.partitionBy("kind", "block").orderBy("line"))
+    numbered = parts.withColumn("place", place).join(starts, (F.col("kind") == F.col("_kind")) & (F.col("block") == F.col("_block"))).withColumn("n", F.col("start") + F.col("place"))
     v = numbered.filter("kind = 'v'").select(F.col("n").alias("vn"), *[F.get("w", F.lit(k + 1)).cast("double").alias(a) for k, a in enumerate("xyz")])
     t = numbered.filter("kind = 'vt'").select(F.col("n").alias("tn"), *[F.get("w", F.lit(k + 1)).cast("double").alias(a) for k, a in enumerate("uv")])
     f = numbered.filter("kind = 'f'").select((F.col("n") - 1).alias("face"), F.posexplode(F.slice("w", 2, 3)).alias("corner", "c"))
@@ -101,5 +112,7 @@ def write_ppm(image: DataFrame, path: str, width: int, height: int) -> None:
     for px, py, color in image.select("px", "py", "color").toLocalIterator():
         at = 3 * (px + width * (height - 1 - py))
         canvas[at : at + 3] = int(color).to_bytes(8, "little")[:3]
-    with open(path, "wb") as file:
+    store, place = las.store_of(path)
+    store.create_dir(os.path.dirname(place), recursive=True)
+    with store.open_output_stream(place, compression=None) as file:
         file.write(f"P6 {width} {height} 255\n".encode() + bytes(canvas))

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import glob
-import os
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -13,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from octolith.sources.las import BATCH, _open, expand
+from octolith.sources.las import BATCH, _open, expand, listed, store_of
 
 HEADER_BYTES, POINT_BYTES = 24, 16
 POINT = np.dtype([("x", "<f4"), ("y", "<f4"), ("z", "<f4"), ("r", "u1"), ("g", "u1"), ("b", "u1"), ("a", "u1")])
@@ -33,27 +31,30 @@ class Run(InputPartition):
     first: int
     count: int
     pid: int
+    low: tuple[float, ...] = (0.0, 0.0, 0.0)
 
 
 class XyzrgbaReader(DataSourceReader):
     def __init__(self, schema, options: dict[str, str]) -> None:
         self.columns = [f.name for f in schema.fields]
-        self.paths = [p for x in options["path"].split(",") for p in expand(x)]
+        self.paths, self.starts, self.low = listed(options)
         self.batch = int(options.get("batch", BATCH))
         self.translate = options.get("translate", "true").lower() == "true"
 
     def partitions(self) -> list[InputPartition]:
+        boxes = [read_box(path) for path in self.paths]
+        low = self.low or ([min(c) for c in zip(*[b[0] for b in boxes], strict=True)] if boxes and self.translate else [0.0] * 3)
         out, pid = [], 0
-        for path in self.paths:
-            n = read_box(path)[2]
-            out += [Run(path, k, min(self.batch, n - k), pid + k) for k in range(0, n, self.batch)]
+        for k, (path, (_, _, n)) in enumerate(zip(self.paths, boxes, strict=True)):
+            pid = self.starts[k] if self.starts else pid
+            out += [Run(path, at, min(self.batch, n - at), pid + at, tuple(low)) for at in range(0, n, self.batch)]
             pid += n
         return out or [Run("", 0, 0, 0)]
 
     def read(self, run: Run) -> Iterator[pa.RecordBatch]:
         if not run.count:
             return
-        low = dict(zip("xyz", (min(c) for c in zip(*[read_box(p)[0] for p in self.paths], strict=True)), strict=True)) if self.translate else dict.fromkeys("xyz", 0.0)
+        low = dict(zip("xyz", run.low, strict=True))
         with _open(run.path) as file:
             file.seek(HEADER_BYTES + POINT_BYTES * run.first)
             for k in range(0, run.count, 65_536):
@@ -101,20 +102,27 @@ def write_xyzrgba(points: DataFrame, folder: str) -> int:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        os.makedirs(folder, exist_ok=True)
         task, n = TaskContext.get(), 0
-        name = f"{folder}/part-{task.partitionId():05d}.xyzrgba"
-        part = f"{folder}/.{task.partitionId():05d}-{task.taskAttemptId()}"
-        with open(part, "wb") as file:
+        store, place = store_of(folder)
+        store.create_dir(place, recursive=True)
+        part = f".part-{task.partitionId():05d}-{task.taskAttemptId()}"
+        with store.open_output_stream(f"{place}/{part}", compression=None) as file:
             file.write(head)
             for b in batches:
                 c = [b.column(k).to_numpy() for k in range(6)]
                 file.write(encode(*c[:3], np.stack([*c[3:], np.full(b.num_rows, 255)], axis=1), low))
                 n += b.num_rows
-        os.replace(part, name) if n else os.remove(part)
-        yield pa.RecordBatch.from_arrays([pa.array([n])], names=["n"])
-
-    for old in glob.glob(f"{folder}/part-*.xyzrgba"):
-        os.remove(old)
-    done = points.select("x", "y", "z", *[F.col(c).cast("int") for c in "rgb"]).mapInArrow(run, "n long").agg(F.sum("n")).first()[0]
-    return int(done or 0)
+        yield pa.RecordBatch.from_arrays([pa.array([part]), pa.array([n])], names=["part", "n"])
+
+    for old in expand(f"{folder}/part-*.xyzrgba"):
+        store, place = store_of(old)
+        store.delete_file(place)
+    # a task's name counts once its attempt has ended; then the driver renames, as it would commit a job
+    done = points.select("x", "y", "z", *[F.col(c).cast("int") for c in "rgb"]).mapInArrow(run, "part string, n long").collect()
+    store, place = store_of(folder)
+    for k, row in enumerate(r for r in sorted(done) if r.n):
+        store.move(f"{place}/{row.part}", f"{place}/part-{k:05d}.xyzrgba")
+    for row in done:
+        if not row.n:
+            store.delete_file(f"{place}/{row.part}")
+    return sum(r.n for r in done)
