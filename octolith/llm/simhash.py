@@ -15,12 +15,13 @@ parent; a search follows only the edges within the radius):
 * Components: alternating large-star and small-star rounds over the forest edges, each round
   written to the shared folder.
 
-``keep_one`` is for word shingles at a similarity of 0.8.  Its fingerprints count each distinct shingle once, as the similarity
-does.  Copies at the limit differ in about 10 to 12 of 64 bits, a radius at which no bits need be equal.  So its shards are keyed by six pairs of
-minimum hashes of the shingle set (a pair of documents at 0.8 shares a key with probability 0.998), the BK-trees
-in them are searched with a radius of 28 bits (far in the tail of that binomial), and an edge counts if the sketches estimate a Jaccard similarity of
-``AT_LEAST`` or more, less ``SIGMAS`` standard errors.  A sketch cuts the hash space into ``CELLS`` cells and keeps 8 bits of
-the smallest hash in each: short texts have nearly all their shingles in it, so their estimate is nearly exact.
+``keep_one`` is for sets of word shingles at a similarity of 0.8, by default their cosine (the shingles in common, of the geometric mean of both
+numbers), which is what the bits of a SimHash estimate: two texts differ in about 64 * angle / pi of them, 13 at a cosine of 0.8.  ``measure="jaccard"`` asks for more (0.8 there
+is a cosine of 0.89).  Its fingerprints count each distinct shingle once, as the similarity does.  At that distance no bits need be equal.  So its shards are
+keyed by twelve pairs of minimum hashes of the shingle set (a pair of documents at a cosine of 0.8 has a Jaccard similarity of 0.64 at least and shares a key
+with probability 0.998), the BK-trees in them are searched with a radius of 28 bits (far in the tail of that binomial), and an edge counts if the
+sketches estimate a similarity of ``AT_LEAST`` or more, less ``SIGMAS`` standard errors.  A sketch cuts the hash space into ``CELLS`` cells and keeps 8
+bits of the smallest hash in each: short texts have nearly all their shingles in it, so their estimate is nearly exact.
 
 Nulls and empty texts: no words, fingerprint zero, linked like any other.  Repeated rows: both get the
 same fingerprint and component.  A null doc_id never becomes a component_id unless its component has
@@ -46,7 +47,7 @@ FOREST_ROWS = 400_000
 #: Pairs (query, node) that a search holds at once, at the start of each chunk of queries.
 SEARCH_ROWS = 100_000
 
-KEYS, WIDE_RADIUS, AT_LEAST, SIGMAS = 6, 28, 0.8, 2.0
+KEYS, WIDE_RADIUS, AT_LEAST, SIGMAS = 12, 28, 0.8, 2.0
 MINIMA = 2 * KEYS
 CELLS = 1024
 #: Pairs of sketches that are compared at once, and rows with sketches that are turned into trees at once.
@@ -95,17 +96,25 @@ def with_fingerprint(docs: DataFrame, width: int) -> DataFrame:
     return rows.mapInArrow(run, "doc_id long, text_hash long, fp long")
 
 
-def _alike(sketch: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Whether the sketches in rows ``a`` and ``b`` estimate a Jaccard similarity of AT_LEAST or more, less SIGMAS standard errors."""
+def _alike(sketch: np.ndarray, a: np.ndarray, b: np.ndarray, sizes: np.ndarray | None = None) -> np.ndarray:
+    """Whether the sketches in rows ``a`` and ``b`` estimate a similarity of AT_LEAST or more, less SIGMAS standard errors.
+
+    The similarity is Jaccard's, or with ``sizes`` (numbers of shingles) the cosine, which is a limit of its own on Jaccard's for each pair.
+    """
     out = []
     for lo in range(0, len(a), SKETCH_PAIRS):
-        x, y = sketch[a[lo : lo + SKETCH_PAIRS]], sketch[b[lo : lo + SKETCH_PAIRS]]
+        i, j = a[lo : lo + SKETCH_PAIRS], b[lo : lo + SKETCH_PAIRS]
+        x, y = sketch[i], sketch[j]
+        least = np.full(len(i), AT_LEAST)
+        if sizes is not None:
+            common = AT_LEAST * np.sqrt(sizes[i].astype(float) * sizes[j])
+            least = common / np.maximum(sizes[i] + sizes[j] - common, 1)
         used = np.count_nonzero(x | y, axis=1)
         equal = CELLS - np.count_nonzero(x ^ y, axis=1) - (CELLS - used)
         # the used cells are a sample, without replacement, of as many shingles as fill that many cells
         shingles = -CELLS * np.log1p(-np.minimum(used, CELLS - 0.5) / CELLS)
-        spread = np.sqrt(AT_LEAST * (1 - AT_LEAST) * used * np.maximum(1 - used / np.maximum(shingles, 1), 0))
-        out.append(equal >= AT_LEAST * used - SIGMAS * spread - 1e-9)
+        spread = np.sqrt(np.maximum(least * (1 - least), 0) * used * np.maximum(1 - used / np.maximum(shingles, 1), 0))
+        out.append((equal >= least * used - SIGMAS * spread - 1e-9) & (least <= 1))
     return np.concatenate(out) if out else np.empty(0, dtype=bool)
 
 
@@ -180,7 +189,7 @@ def _merged(comp: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
             comp = up
 
 
-def _alike_pairs(q: np.ndarray, node: np.ndarray, comp: np.ndarray, sketch: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _alike_pairs(q: np.ndarray, node: np.ndarray, comp: np.ndarray, sketch: np.ndarray, sizes: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Of the pairs (q, node), alike ones that join every q to each component it belongs to.
 
     The pairs of one q with one component are tried in growing steps, and no more once one of them is alike: a group of many
@@ -194,14 +203,14 @@ def _alike_pairs(q: np.ndarray, node: np.ndarray, comp: np.ndarray, sketch: np.n
         new = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
         nth = np.arange(len(key)) - np.repeat(new, np.diff(np.r_[new, len(key)]))
         now = np.flatnonzero(nth < step)
-        hit = now[_alike(sketch, q[now], node[now])]
+        hit = now[_alike(sketch, q[now], node[now], sizes)]
         a.append(q[hit]), b.append(node[hit])
         rest = (nth >= step) & ~np.isin(key, key[hit])
         q, node, step = q[rest], node[rest], step * 4
     return (np.concatenate(a), np.concatenate(b)) if a else (q, node)
 
 
-def forest_links(shard: np.ndarray, fp: np.ndarray, radius: int, sketch: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+def forest_links(shard: np.ndarray, fp: np.ndarray, radius: int, sketch: np.ndarray | None = None, sizes: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Spanning forest (row, row of its local root) of all pairs within ``radius`` in a shard.
 
     A subtree that lies in the query's own component is not entered: a group of many near copies, linked after the first steps, costs no
@@ -222,7 +231,7 @@ def forest_links(shard: np.ndarray, fp: np.ndarray, radius: int, sketch: np.ndar
             near = np.flatnonzero((d <= radius) & (comp[q] != comp[node]))
             if len(near):
                 last = comp.copy()
-                comp = _merged(comp, *((q[near], node[near]) if sketch is None else _alike_pairs(q[near], node[near], comp, sketch)))
+                comp = _merged(comp, *((q[near], node[near]) if sketch is None else _alike_pairs(q[near], node[near], comp, sketch, sizes)))
                 if not np.array_equal(comp, last):
                     whole = _whole(comp, parent, depths)
             enter = whole[node] != comp[q]
@@ -236,25 +245,25 @@ def forest_links(shard: np.ndarray, fp: np.ndarray, radius: int, sketch: np.ndar
     return rows, comp[rows]
 
 
-def _forest(radius: int, sketched: bool = False):
-    """Of rows (shard, fp[, node, sketch]) sorted by shard: forest edges between fps (or nodes)."""
+def _forest(radius: int, sketched: bool = False, cosine: bool = False):
+    """Of rows (shard, fp[, node, n, sketch]) sorted by shard: forest edges between fps (or nodes)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def links(shard: np.ndarray, fp: np.ndarray, node: np.ndarray, sketch: np.ndarray | None) -> pa.RecordBatch:
-            a, b = forest_links(shard, fp, radius, sketch)
+        def links(shard: np.ndarray, fp: np.ndarray, node: np.ndarray, sizes: np.ndarray | None = None, sketch: np.ndarray | None = None) -> pa.RecordBatch:
+            a, b = forest_links(shard, fp, radius, sketch, sizes if cosine else None)
             ends = np.unique(np.stack([node[a], node[b]], axis=1), axis=0) if len(a) else np.empty((0, 2), dtype=np.int64)
             return pa.RecordBatch.from_arrays([pa.array(ends[:, 0]), pa.array(ends[:, 1])], names=["u", "v"])
 
-        held: list[np.ndarray | None] = [np.empty(0, dtype=np.int64), np.empty(0, dtype=np.uint64), np.empty(0, dtype=np.int64), np.empty((0, CELLS), dtype=np.uint8) if sketched else None]
+        held: list[np.ndarray] = []
         for b in batches:
             new = [b.column(0).to_numpy(), b.column(1).to_numpy().view(np.uint64), b.column(2 if sketched else 1).to_numpy()]
             if sketched:
-                new.append(np.frombuffer(b"".join(b.column(3).to_pylist()), dtype=np.uint8).reshape(-1, CELLS))
-            held = [np.concatenate([x, y]) for x, y in zip(held, new, strict=False)] + [None] * (not sketched)
+                new += [b.column(3).to_numpy(), np.frombuffer(b"".join(b.column(4).to_pylist()), dtype=np.uint8).reshape(-1, CELLS)]
+            held = [np.concatenate(x) for x in zip(held, new, strict=True)] if held else new
             if len(held[0]) >= (SKETCH_ROWS if sketched else FOREST_ROWS) and (cut := int(np.searchsorted(held[0], held[0][-1]))):
-                yield links(*(None if x is None else x[:cut] for x in held))
-                held = [None if x is None else x[cut:] for x in held]
-        if len(held[0]):
+                yield links(*[x[:cut] for x in held])
+                held = [x[cut:] for x in held]
+        if held and len(held[0]):
             yield links(*held)
 
     return run
@@ -332,47 +341,49 @@ def near_duplicates(docs: DataFrame, width: int = 3, radius: int = 3) -> DataFra
 
 
 def with_sketch(docs: DataFrame, width: int) -> DataFrame:
-    """(doc_id, text_hash, fp, node, keys, sketch); node stands for all texts with this fingerprint and sketch."""
+    """(doc_id, text_hash, fp, node, n, keys, sketch); node stands for all texts with this fingerprint and sketch, n is the number of their shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fps, nodes, keys, sketches = [], [], [], []
+            fps, nodes, sizes, keys, sketches = [], [], [], [], []
             for text in b.column(2):
-                h = shingle_hashes(text.as_py() or b"", width)
-                h = np.unique(h)  # a set: repeats would outweigh the other shingles in the fingerprint
+                h = np.unique(shingle_hashes(text.as_py() or b"", width))  # a set: repeats would outweigh the other shingles in the fingerprint
                 low = min_hashes(h)
                 fps.append(simhash_of(h))
+                sizes.append(len(h))
                 sketches.append(cells(h).tobytes())
-                nodes.append(xxhash.xxh64_intdigest(fps[-1].to_bytes(8, "little") + low.tobytes() + sketches[-1]))
+                nodes.append(xxhash.xxh64_intdigest(fps[-1].to_bytes(8, "little") + len(h).to_bytes(8, "little") + low.tobytes() + sketches[-1]))
                 keys.append([xxhash.xxh64_intdigest(low[2 * k : 2 * k + 2].tobytes(), k) for k in range(KEYS)])
-            long = [pa.array(np.array(x, dtype=np.uint64).view(np.int64)) for x in (fps, nodes)]
+            long = [pa.array(np.array(x, dtype=np.uint64).view(np.int64)) for x in (fps, nodes, sizes)]
             flat = pa.array(np.array(keys, dtype=np.uint64).ravel().view(np.int64))
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(fps) + 1) * KEYS, pa.int32()), flat)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *long, lists, pa.array(sketches, pa.binary())], names=["doc_id", "text_hash", "fp", "node", "keys", "sketch"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *long, lists, pa.array(sketches, pa.binary())], names=["doc_id", "text_hash", "fp", "node", "n", "keys", "sketch"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), F.encode("text", "UTF-8").alias("t"))
-    return rows.mapInArrow(run, "doc_id long, text_hash long, fp long, node long, keys array<long>, sketch binary")
+    return rows.mapInArrow(run, "doc_id long, text_hash long, fp long, node long, n long, keys array<long>, sketch binary")
 
 
-def shingle_links(rows: DataFrame) -> DataFrame:
+def shingle_links(rows: DataFrame, measure: str = "cosine") -> DataFrame:
     """(u, v): forest edges between nodes of ``with_sketch`` rows that are alike.
 
     A shard of one node has no edge: keys are counted first, as small rows, and a sketch travels only to the shards that its
     node shares with another one.
     """
+    if measure not in ("cosine", "jaccard"):
+        raise ValueError("the similarity is a cosine or Jaccard's")
     keys = rows.groupBy("node").agg(F.first("keys").alias("keys")).select(F.explode(F.array_distinct("keys")).alias("shard"), F.col("node").alias("_n"))
     shared = keys.groupBy(F.col("shard").alias("_s")).agg(F.count(F.lit(1)).alias("_c")).filter("_c > 1")
-    places = keys.join(shared, F.col("shard") == F.col("_s"), "left_semi")
-    nodes = rows.groupBy("node").agg(F.first("fp").alias("fp"), F.first("sketch").alias("sketch"))
-    shards = places.join(nodes, F.col("node") == F.col("_n")).select("shard", "fp", "node", "sketch").repartition("shard").sortWithinPartitions("shard", "node")
-    return shards.mapInArrow(_forest(WIDE_RADIUS, sketched=True), "u long, v long")
+    places = keys.join(materialize(shared, "shards"), F.col("shard") == F.col("_s"), "left_semi")
+    nodes = rows.groupBy("node").agg(*[F.first(c).alias(c) for c in ("fp", "n", "sketch")])
+    shards = places.join(nodes, F.col("node") == F.col("_n")).select("shard", "fp", "node", "n", "sketch").repartition("shard").sortWithinPartitions("shard", "node")
+    return shards.mapInArrow(_forest(WIDE_RADIUS, sketched=True, cosine=measure == "cosine"), "u long, v long")
 
 
-def keep_one(docs: DataFrame, width: int = 5) -> DataFrame:
+def keep_one(docs: DataFrame, width: int = 5, measure: str = "cosine") -> DataFrame:
     """The documents that stay, all columns: of each component the one with the smallest doc_id (then text hash), once."""
     rows = materialize(with_sketch(docs, width), "sketches")
     last = F.lit((1 << 63) - 1)
-    stay = components_of(rows.select("doc_id", "text_hash", "node"), shingle_links(rows), "node").select(F.coalesce("component_id", last).alias("_k"), F.col("first_hash").alias("_h")).distinct()
+    stay = components_of(rows.select("doc_id", "text_hash", "node"), shingle_links(rows, measure), "node").select(F.coalesce("component_id", last).alias("_k"), F.col("first_hash").alias("_h")).distinct()
     names = docs.columns
     keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"), F.coalesce(F.col("doc_id").cast("long"), last).alias("_k"), F.xxhash64("text").alias("_h"))
     return keyed.join(stay, ["_k", "_h"], "left_semi").dropDuplicates(["_k", "_h"]).select("_row.*")

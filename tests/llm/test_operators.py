@@ -432,6 +432,47 @@ def test_keep_one_with_repeats(spark):
     assert sorted(r.doc_id for r in simhash.keep_one(spark.createDataFrame(made, "doc_id long, text string")).collect()) == stay
 
 
+def test_sketch_is_near_exact_cosine():
+    """Clearly above a cosine of 0.8 is alike, clearly below is not, for sets of different sizes too."""
+    rng = np.random.default_rng(13)
+    for size, slack in ((5, 0.0), (40, 0.03), (400, 0.06), (20_000, 0.06)):
+        for other in (size, size * 4 // 5, size * 2 // 3):
+            for similarity in (0.4, 0.6, 0.7, 0.8, 0.87, 0.95, 1.0):
+                shared = min(other, round(similarity * (size * other) ** 0.5))
+                h = rng.integers(0, 2**64, size + other, dtype=np.uint64)
+                a, b = h[:size], np.concatenate([h[:shared], h[size : size + other - shared]])
+                exact = shared / (size * other) ** 0.5
+                is_ = bool(simhash._alike(np.stack([simhash.cells(a), simhash.cells(b)]), np.array([0]), np.array([1]), np.array([size, other]))[0])
+                if exact >= 0.8 + slack or exact < 0.8 - slack:
+                    assert is_ == (exact >= 0.8), (size, other, exact)
+
+
+def test_keep_one_by_brute_force(spark):
+    """Recall and precision against all pairs: every pair at a cosine of 0.8 ends in one component, none far below is linked."""
+    rng = random.Random(31)
+    made = []
+    for k in range(60):
+        base = words(rng, rng.randint(60, 400), "abcdefghijklmnop").split()
+        for _ in range(4):
+            rate = rng.choice([0.0, 0.01, 0.02, 0.04, 0.08])
+            made.append(" ".join(words(rng, 1, "qrstuvwxyz") if rng.random() < rate else w for w in base))
+    rng.shuffle(made)
+    sets = [set(simhash.shingle_hashes(t.encode(), 5).tolist()) for t in made]
+    docs = spark.createDataFrame(list(enumerate(made)), "doc_id long, text string").repartition(4)
+    for measure in ("cosine", "jaccard"):
+        rows = simhash.with_sketch(docs, 5)
+        got = {r.doc_id: r.component_id for r in simhash.components_of(rows.select("doc_id", "text_hash", "node"), simhash.shingle_links(rows, measure), "node").collect()}
+        lost = pairs = far = 0
+        for i in range(len(made)):
+            for j in range(i):
+                both = len(sets[i] & sets[j])
+                how = both / (len(sets[i]) * len(sets[j])) ** 0.5 if measure == "cosine" else both / len(sets[i] | sets[j])
+                pairs += how >= 0.8
+                lost += how >= 0.8 and got[i] != got[j]
+                far += how < 0.3 and got[i] == got[j]
+        assert pairs > 50 and lost <= 0.02 * pairs and far == 0, (measure, pairs, lost, far)
+
+
 # URLs -------------------------------------------------------------------------------------------------
 
 
