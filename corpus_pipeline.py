@@ -1,4 +1,10 @@
-"""From raw documents to packed sequences, each stage written before the next one reads it."""
+"""From raw documents to packed sequences, each stage written before the next one reads it.
+
+Every stage but the last returns the columns of its documents, extra ones (whatever their names) included.  Null texts and texts without a letter are
+of no language and go in the first stage; on their own, the stages treat a null text as one without lines, words or tokens.  A null doc_id sorts last.
+Repeated rows share their fate: equal lines and texts stay once (in the lines and near-duplicate stages), or both rows are mixed and packed.  Of ties
+the smallest doc_id wins, then the smallest hash of the text.  Very long texts are processed whole.  An empty table gives empty results in every stage.
+"""
 
 from __future__ import annotations
 
@@ -22,7 +28,7 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group that shares 0.8 or more of its five-word shingles."""
+    """One document of each group of texts whose sets of five-word shingles have a cosine of 0.8 or more with another one's."""
     return simhash.keep_one(docs, width=5)
 
 
