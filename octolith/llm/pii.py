@@ -11,7 +11,7 @@ pattern names.  Candidates are runs of letters, digits and joining marks, of any
 * texture: how many different digits and letters the candidate has for its length.
 
 Votes are counted by pattern (at most 3^4 rows, whatever the input).  Expectation-maximisation on these
-counts (Dawid and Skene's model) estimates each labeler's reliability; the patterns' posteriors are soft labels, with which a
+counts (Dawid and Skene's model; until nothing changes by ``SETTLED``, ``EM_ROUNDS`` at most) estimates each labeler's reliability; the patterns' posteriors are soft labels, with which a
 naive Bayes classifier over the span's own features (at most ``FEATURE_ROWS`` values, counted over all candidates)
 is trained.  Candidates with a posterior of ``SURE`` or more by the classifier, that don't overlap a base span, become spans of kind ``private``.
 
@@ -42,7 +42,7 @@ PATTERNS = {
 NEEDS = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9](?:[\x20-]?[0-9]){13}", "phone": r"\+[0-9]"}
 CANDIDATE_NEEDS = "[0-9]"
 LEAST = 7
-AROUND = 24
+AROUND, BLOCK = 24, 256
 
 NAMES_BEFORE = ("password", "passwd", "pwd", "token", "key", "apikey", "secret", "ssn", "iban", "passport", "account", "konto", "cuenta", "compte", "phone", "tel", "mobile", "fax", "id", "licence", "license", "login", "user", "pin", "dni", "nif")
 UNITS_AFTER = ("km", "kg", "m", "cm", "mm", "g", "usd", "eur", "euro", "euros", "dollars", "percent", "pages", "years", "jahre", "ans", "bytes", "mb", "gb")
@@ -52,23 +52,26 @@ COUNTED_BEFORE = ("page", "chapter", "version", "figure", "fig", "table", "year"
 _NAME, _BEGIN = f"(?i:{'|'.join(NAMES_BEFORE)})", r"(?<![A-Za-z0-9])(?<![A-Za-z0-9][._:/-])"
 CANDIDATE = rf"(?:(?<={_BEGIN}{_NAME}:)|{_BEGIN}(?!{_NAME}:[A-Za-z0-9]))(?=[A-Za-z]*+(?:[._:/-][A-Za-z]++)*+[._:/-]?[0-9])[A-Za-z0-9]++(?:[._:/-][A-Za-z0-9]++)*+"
 
-EM_ROUNDS, SURE, FEATURE_ROWS = 100, 0.9, 400
+EM_ROUNDS, SETTLED, SURE, FEATURE_ROWS = 1000, 1e-9, 0.9, 400
 LABELERS = ("v_regex", "v_gazetteer", "v_context", "v_texture")
 FEATURES = ("f_shape", "f_length", "f_left", "f_right", "f_word")
 _SPAN = "ARRAY<STRUCT<s: INT, e: INT, m: STRING, b: STRING, a: STRING>>"
 
 
 def _located(df: DataFrame, name: str, pattern: str, when: Column) -> DataFrame:
-    """Adds column ``name``: all matches with their place and the text around."""
+    """Adds column ``name``: all matches with their place and the text around.
+
+    A match begins after the lengths before it.  They are summed by blocks, so that a text of very many matches doesn't cost their square.
+    """
     p, none = F.lit(pattern), F.array().cast("array<string>")
     df = df.withColumn("_m", F.when(when, F.regexp_extract_all("t", p, F.lit(0))).otherwise(none))
     df = df.withColumn("_g", F.when(F.size("_m") > 0, F.split("t", pattern)).otherwise(none))
-    step = f"named_struct('s', x.p + length(_g[k]), 'e', x.p + length(_g[k]) + length(_m[k]), 'm', _m[k], 'b', right(_g[k], {AROUND}), 'a', left(_g[k + 1], {AROUND}))"
-    spans = F.expr(
-        f"CASE WHEN size(_m) = 0 THEN CAST(array() AS {_SPAN}) ELSE aggregate(sequence(0, size(_m) - 1), named_struct('p', 0, 'o', CAST(array() AS {_SPAN})), "
-        f"(x, k) -> named_struct('p', x.p + length(_g[k]) + length(_m[k]), 'o', concat(x.o, array({step}))), x -> x.o) END"
-    )
-    return df.withColumn(name, spans).drop("_m", "_g")
+    df = df.withColumn("_l", F.expr("transform(_m, (x, k) -> length(x) + length(_g[k]))"))
+    df = df.withColumn("_s", F.expr(f"CASE WHEN size(_m) > {BLOCK} THEN transform(sequence(0, (size(_m) - 1) DIV {BLOCK}), b -> aggregate(slice(_l, b * {BLOCK} + 1, {BLOCK}), 0, (x, y) -> x + y)) END"))
+    ahead = f"CASE WHEN k < {BLOCK} THEN 0 ELSE aggregate(slice(_s, 1, k DIV {BLOCK}), 0, (x, y) -> x + y) END + aggregate(slice(_l, k DIV {BLOCK} * {BLOCK} + 1, k % {BLOCK}), 0, (x, y) -> x + y) + length(_g[k])"
+    df = df.withColumn("_p", F.expr(f"transform(_m, (m, k) -> {ahead})"))
+    spans = F.expr(f"transform(_m, (m, k) -> named_struct('s', _p[k], 'e', _p[k] + length(m), 'm', m, 'b', right(_g[k], {AROUND}), 'a', left(_g[k + 1], {AROUND})))")
+    return df.withColumn(name, spans.cast(_SPAN)).drop("_m", "_g", "_l", "_s", "_p")
 
 
 def _luhn(digits: str) -> str:
@@ -133,6 +136,7 @@ def expectation_maximisation(patterns: dict[tuple[int, ...], int], rounds: int =
                 total[y] += n * p
                 for j, vote in enumerate(v):
                     seen[j, vote, y] = seen.get((j, vote, y), 0.0) + n * p
+        last = dict(post)
         for v in post:
             odds = math.log(total[1] / total[0])
             for j, vote in enumerate(v):
@@ -141,6 +145,8 @@ def expectation_maximisation(patterns: dict[tuple[int, ...], int], rounds: int =
                 b = (seen.get((j, vote, 0), 0.0) + 1 - 0.5 * vote) / (total[0] + 3)
                 odds += math.log(a / b)
             post[v] = 1 / (1 + math.exp(-max(-30.0, min(30.0, odds))))
+        if all(abs(post[v] - last[v]) < SETTLED for v in post):
+            break
     return post
 
 
@@ -166,7 +172,7 @@ def train(spans: DataFrame) -> dict[str, float]:
 
 
 def find_spans(docs: DataFrame) -> DataFrame:
-    """One row per document: counts by base kind, digest of the base spans, all spans."""
+    """One row per document: counts by kind (the base ones, and ``n_private`` that the method adds), digest of the base spans, all spans."""
     spans = materialize(base_spans(docs), "spans")
     weights = train(spans)
     table_ = F.create_map(*[F.lit(x) for k, v in sorted(weights.items()) for x in (k, v)])
@@ -179,7 +185,7 @@ def find_spans(docs: DataFrame) -> DataFrame:
         each = [F.expr(f"transform({k}, x -> named_struct('s', x.s, 'k', {n}, 'o', concat('{k}:', x.s, ':', x.e)))") for n, k in enumerate(KINDS) if k in kinds]
         return F.array_join(F.transform(F.array_sort(F.concat(*each)), lambda x: x.o), ",")
 
-    counts = [F.size(k).cast("long").alias(f"n_{k}") for k in PATTERNS]
+    counts = [F.size(k).cast("long").alias(f"n_{k}") for k in KINDS]
     return spans.select("doc_id", *counts, F.sha2(listed(tuple(PATTERNS)), 256).alias("base_sha256"), listed(KINDS).alias("spans"))
 
 
