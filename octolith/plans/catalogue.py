@@ -279,11 +279,11 @@ def _edge_sql() -> str:
     return ", ".join(f"({k}, {''.join(map(str, a + b))!r})" for k, (a, b) in enumerate(view.EDGES))
 
 
-@query(
-    "node_box_edges",
-    _tree(LINES, WIDE) + ", boxes AS (SELECT *, 1048576.0::DOUBLE / pow(2.0::DOUBLE, level) AS s FROM tree), edges(edge, c) AS (VALUES " + _edge_sql() + ") SELECT level, nx, ny, nz, edge, "
-    + ", ".join(f"(n{a} + substr(c, {3 * e + i + 1}, 1)::BIGINT) * s AS {a}{e}" for e in (0, 1) for i, a in enumerate(AXES)) + " FROM boxes, edges",
-)
+_EDGES = ", boxes AS (SELECT *, 1048576.0::DOUBLE / pow(2.0::DOUBLE, level) AS s FROM tree), edges(edge, c) AS (VALUES " + _edge_sql() + ")"
+_ENDS = ", ".join(f"(n{a} + substr(c, {3 * e + i + 1}, 1)::BIGINT) * s AS {a}{e}" for e in (0, 1) for i, a in enumerate(AXES))
+
+
+@query("node_box_edges", _tree(LINES, WIDE) + _EDGES + " SELECT level, nx, ny, nz, edge, " + _ENDS + " FROM boxes, edges")
 def _(spark, d):
     return view.box_edges(_lines_tree(spark, d)[1], CUBE)
 
@@ -353,7 +353,43 @@ def _(spark, d):
     return raster.shaded(raster.filled(raster.nearest(raster.fragments(event_points(spark, d), DEEP)), DEEP), DEEP)
 
 
-@query("line_raster")
+def _lines_sql(v: View) -> str:
+    """Lines (x0, .., z1) of table segs: clipped, projected and walked in steps; their fragments."""
+    planes = [p for p in camera.frustum_planes(v.transform) if any(p[:3])]
+    at = lambda p, q, n: " + ".join(f"{x!r}::DOUBLE * {q}{a}" for x, a in zip(n, AXES, strict=True))
+
+    def clipped(p: str, sign: str) -> str:
+        inside = " AND ".join(f"{at(0, p, (a, b, c))} + {k!r}::DOUBLE >= 0" for a, b, c, k in planes)
+        hits = []
+        for a, b, c, k in planes:
+            slope, away = f"({at(0, f'{sign}d', (a, b, c))})", f"({at(0, p, (a, b, c))} + {k!r}::DOUBLE)"
+            hits.append(f"CASE WHEN {slope} > 0 AND -{away} / {slope} >= 0 THEN -{away} / {slope} ELSE 0.0::DOUBLE END")
+        return f"CASE WHEN {inside} THEN 0.0::DOUBLE ELSE greatest({', '.join(hits)}, 0.0::DOUBLE) END"
+
+    def projected(p: str) -> str:
+        x, y, _, w = _apply(v.transform, f"{p}x", f"{p}y", f"{p}z")
+        return f"{x} / nullif({w}, 0) AS {p}_u, {y} / nullif({w}, 0) AS {p}_v, {w} AS {p}_w"
+
+    along = lambda c: f"(1.0::DOUBLE - u) * s{c} + u * e{c}"
+    ends = ", ".join(f"{a}{k} AS {p}{a}" for k, p in enumerate("se") for a in AXES)
+    squares = " + ".join(["0.0::DOUBLE", *(f"(e{a} - s{a}) * (e{a} - s{a})" for a in AXES)])
+    return f""", l0 AS (SELECT *, sqrt({squares}) AS len FROM (SELECT {ends} FROM segs)),
+l1 AS (SELECT *, {", ".join(f"(e{a} - s{a}) / len AS d{a}" for a in AXES)}, {", ".join(f"-((e{a} - s{a}) / len) AS bd{a}" for a in AXES)} FROM l0 WHERE len > 0),
+l2 AS (SELECT *, {clipped("s", "")} AS ts FROM l1),
+l3 AS (SELECT {", ".join(f"s{a} + ts * d{a} AS s{a}" for a in AXES)}, {", ".join(f"e{a}, d{a}, bd{a}" for a in AXES)} FROM l2),
+l4 AS (SELECT *, {clipped("e", "b")} AS te FROM l3),
+l5 AS (SELECT sx, sy, sz, {", ".join(f"e{a} + te * bd{a} AS e{a}" for a in AXES)} FROM l4),
+l6 AS (SELECT {projected("s")}, {projected("e")} FROM l5),
+l7 AS (SELECT *, (e_u - s_u) * {0.5 * v.width}::DOUBLE AS dx, (e_v - s_v) * {0.5 * v.height}::DOUBLE AS dy FROM l6 WHERE s_w <> 0 AND e_w <> 0),
+l8 AS (SELECT *, ceil(least(sqrt(dx * dx + dy * dy), {float(raster.LINE_STEPS)}::DOUBLE))::INTEGER AS n FROM l7),
+l9 AS (SELECT *, k / n::DOUBLE AS u FROM (SELECT *, unnest(range(0, n + 1)) AS k FROM l8 WHERE n > 0)),
+l10 AS (SELECT {along("_u")} AS X, {along("_v")} AS Y, {along("_w")} AS depth FROM l9),
+frags AS (SELECT greatest(0, least({v.width - 1}, trunc((X * 0.5::DOUBLE + 0.5::DOUBLE) * {v.width})::INTEGER)) AS px, greatest(0, least({v.height - 1}, trunc((Y * 0.5::DOUBLE + 0.5::DOUBLE) * {v.height})::INTEGER)) AS py, depth, {0x0000FF00}::BIGINT AS color
+    FROM l10 WHERE abs(X) <= 1 AND abs(Y) <= 1 AND depth > 0)
+"""
+
+
+@query("line_raster", _tree(LINES, WIDE) + _EDGES + ", segs AS (SELECT " + _ENDS + " FROM boxes, edges)" + _lines_sql(DEEP) + _NEAREST)
 def _(spark, d):
     edges = view.box_edges(_lines_tree(spark, d)[1], CUBE).withColumn("color", F.lit(0x0000FF00))
     return raster.nearest(raster.line_fragments(edges, DEEP))
