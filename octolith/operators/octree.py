@@ -20,9 +20,9 @@ from octolith.functions.lattice import AXES, LATTICE, NODE, child_index, node_co
 
 Materialize = Callable[[DataFrame], DataFrame]
 #: Levels that are counted from one scan; only points below inner nodes go on to the next ones.
-LEVELS_PER_PASS = 7
+LEVELS_PER_PASS = 9
 #: Levels of voxels that are made from the ones below at once; the next ones start from the coarsest of them.
-VOXEL_LEVELS_PER_PASS = 3
+VOXEL_LEVELS_PER_PASS = 8
 
 
 def cell_counts(points: DataFrame, first: int, last: int) -> DataFrame:
@@ -38,13 +38,14 @@ def node_counts(points: DataFrame, config: TreeConfig, materialize: Materialize
     """(level, nx, ny, nz, n_points) of every occupied cell whose parent is inner, and of the root.
 
     The levels are worked off in passes: a pass counts up to LEVELS_PER_PASS levels from one scan, and the next one reads only
-    the points under inner cells of the last level so far, so that points in shallow leaves are never carried down.  The counts of
-    a pass are read several times: ``materialize`` (a table in shared storage) keeps scans from multiplying.
+    the points under inner cells of the last level so far, so that points in shallow leaves are never carried down.  Where there are several
+    passes, the counts of each are read several times: ``materialize`` (a table in shared storage) keeps scans from multiplying.
     """
     out, rest, first = None, points, 0
     while True:
         last = min(first + LEVELS_PER_PASS - 1, config.max_depth)
-        counts = materialize(cell_counts(rest, first, last))
+        counts = cell_counts(rest, first, last)
+        counts = counts if last == config.max_depth and not first else materialize(counts)
         inner = counts.filter((F.col("n_points") > config.max_points) & (F.col("level") < config.max_depth))
         up = inner.select((F.col("level") + 1).alias("_l"), *[F.col(f"n{a}").alias(f"i{a}") for a in AXES])
         on = [F.col("level") == F.col("_l"), *[F.call_function("shiftright", F.col(f"n{a}"), F.lit(1)) == F.col(f"i{a}") for a in AXES]]
@@ -60,7 +61,7 @@ def node_counts(points: DataFrame, config: TreeConfig, materialize: Materialize
 
 def nodes(points: DataFrame, config: TreeConfig, materialize: Materialize = lambda df: df) -> DataFrame:
     """(level, nx, ny, nz, n_points, is_inner): the root and all eight children of every inner node, empty ones included."""
-    counts = node_counts(points, config, materialize)
+    counts = materialize(node_counts(points, config, materialize))
     inner = counts.filter((F.col("n_points") > config.max_points) & (F.col("level") < config.max_depth))
     corner = F.explode(F.array(*[F.struct(*[F.lit(k >> b & 1).cast("long").alias(a) for a, b in zip(AXES, (2, 1, 0), strict=True)]) for k in range(8)])).alias("c")
     children = inner.select(F.col("level") + 1, *[f"n{a}" for a in AXES], corner).toDF("level", "nx", "ny", "nz", "c")
@@ -110,7 +111,8 @@ def voxels(points: DataFrame, tree: DataFrame, config: TreeConfig, materialize:
     g = [f"g{a}" for a in AXES]
     leaves = with_leaf_level(points.select("pid", "color", *LATTICE), tree, config).filter("level > 0").withColumn("level", F.col("level") - 1)
     cells = leaves.select("level", *[voxel_coordinate(F.col(c), F.col("level"), config.grid_bits).alias(x) for c, x in zip(LATTICE, g, strict=True)], "pid", "color")
-    cells = materialize(cells.groupBy("level", *g).agg(F.min(F.struct("pid", "color")).alias("first")))
+    cells = cells.groupBy("level", *g).agg(F.min(F.struct("pid", "color")).alias("first"))
+    cells = materialize(cells) if config.max_depth > VOXEL_LEVELS_PER_PASS else cells
     out, carried, high = None, None, config.max_depth - 1
     while high >= 0:
         low = max(0, high - VOXEL_LEVELS_PER_PASS + 1)

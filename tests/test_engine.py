@@ -264,3 +264,78 @@ def test_oracle(spark, name):
     names = sorted(want.columns)
     assert names == sorted(got.columns)
     assert sorted(map(tuple, got.select(*[f"`{c}`" for c in names]).collect())) == sorted(want.select(*[f'"{c}"' for c in names]).fetchall())
+
+
+def test_passes_give_the_same_tree(spark, monkeypatch):
+    """Levels worked off two at a time: nodes, leaves and voxels as from a single pass, and as from each point's path."""
+    rng = np.random.default_rng(9)
+    rows = [(k, *map(int, p), int(k * 7 % 256)) for k, p in enumerate((rng.random((400, 3)) ** 3 * 2**28).astype(int))]
+    points = spark.createDataFrame(rows, "pid long, px long, py long, pz long, color long").cache()
+    config = TreeConfig(max_points=6, max_depth=7, grid=4)
+    tree = octree.nodes(points, config).cache()
+    want = [sorted(map(tuple, t.collect())) for t in (tree, octree.voxels(points, tree, config))]
+    monkeypatch.setattr(octree, "LEVELS_PER_PASS", 2)
+    monkeypatch.setattr(octree, "VOXEL_LEVELS_PER_PASS", 2)
+    stored_ = lambda df: spark.createDataFrame(df.collect(), df.schema)
+    got = [sorted(map(tuple, t.collect())) for t in (octree.nodes(points, config, stored_), octree.voxels(points, tree, config, stored_))]
+    assert got == want
+    inner = {(r.level, r.nx, r.ny, r.nz) for r in tree.collect() if r.is_inner}
+    leaves = {r.pid: (r.level, r.nx, r.ny, r.nz) for r in octree.leaf_points(points, tree, config).collect()}
+    for pid, x, y, z, _ in rows:
+        level = next(k for k in range(9) if (k, x >> 28 - k, y >> 28 - k, z >> 28 - k) not in inner)
+        assert leaves[pid] == (level, x >> 28 - level, y >> 28 - level, z >> 28 - level)
+
+
+def test_stream_voxels_budget_and_steps(spark, tmp_path):
+    """State of points with colours; a budget that counts what it leaves out; one batch a step."""
+    from octolith.streaming import build
+
+    config = TreeConfig(max_points=4, max_depth=3, grid=4)
+    rng = np.random.default_rng(5)
+    rows = [(k, *map(int, p), k) for k, p in enumerate(rng.integers(0, 2**28, (60, 3)))]
+    schema = "pid long, px long, py long, pz long, color long"
+    for n in range(3):
+        spark.createDataFrame(rows[n * 20 : n * 20 + 20], schema).coalesce(1).write.parquet(f"{tmp_path}/in{n}")
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in*")
+    state, seen = build.BuildState(f"{tmp_path}/state", config), []
+    while build.step(stream, state, max_points=50):
+        seen.append(state.processed(spark))
+    assert len(seen) == 3 and seen[-1] == 50 and seen == sorted(seen)
+    assert tuple(state.capacity(spark).first()) == (50, 10, True)
+    points = spark.createDataFrame(rows[:50], schema)
+    tree = octree.nodes(points, config)
+    assert sorted(map(tuple, state.voxels(spark).collect())) == sorted(map(tuple, octree.voxels(points, tree, config).collect()))
+    state.reset(spark)
+    assert state.processed(spark) == 0 and state.voxels(spark).count() == 0
+
+
+def test_las_extras_and_records(spark, tmp_path):
+    """Extra attributes with scale and offset, files that lack them, records set and removed; files larger than a batch stream through."""
+    extras = [las.Extra("height", "<i2", 0.5, 10.0), las.Extra("weight")]
+    n = np.arange(500.0)
+    vlrs = las.with_vlr(las.with_vlr([], las.Vlr("a", 1, "", b"old")), las.Vlr("a", 1, "", b"new"))
+    las.write_las(f"{tmp_path}/one.las", n, n, n, point_format=1, vlrs=vlrs, extras=extras, height=n, weight=n * 3, gps_time=n)
+    las.write_las(f"{tmp_path}/two.las", [1.0], [1.0], [1.0])
+    assert [v.data for v in las.read_vlrs(f"{tmp_path}/one.las")][0] == b"new" and las.extras_of(las.read_vlrs(f"{tmp_path}/one.las")) == extras
+    got = las.read_las(spark, f"{tmp_path}/one.las", f"{tmp_path}/two.las", columns=["x", "gps_time"], extra=["height", "weight", "none"], translate="false").toPandas()
+    assert (got.height[:500] == n).all() and (got.weight[:500] == 3 * n).all() and got.height.isna()[500] and got.none.isna().all()
+    out = las.LasStream(point_format=6, scale=(0.01,) * 3)
+    for k in range(5):
+        out.add(n + 500 * k, n, n, flags=np.full(500, 1 + k % 2))
+    h = out.finish(f"{tmp_path}/three.las")
+    assert (h.n_points, h.high[0], out.returns.tolist()) == (2500, 2499.0, [0, 1500, 1000, 0, 0, 0])
+    assert las.read_las(spark, f"{tmp_path}/three.las", batch="700", translate="false").agg(F.sum("x")).first()[0] == pytest.approx(sum(range(2500)))
+
+
+def test_tiles_and_long_intervals(spark):
+    grid = si.Grid(0.0, 0.0, 1.0, 3)
+    rows = spark.createDataFrame([(float(x), float(y)) for x in range(8) for y in range(8)], "x double, y double")
+    tile = si.level_offset(1) + 2
+    got = rows.select("x", "y", si.subtile_index(grid, F.col("x"), F.col("y"), tile, 1).alias("own"), si.cell_index(grid, F.col("x"), F.col("y")).alias("whole")).withColumn("back", si.whole_index(grid, F.col("own"), tile, 1)).collect()
+    inside = [r for r in got if r.own is not None]
+    assert len(inside) == 16 and all(r.x < 4 and r.y >= 4 and r.back == r.whole for r in inside)
+    assert sorted(r.own for r in inside) == list(range(si.level_offset(2), si.level_offset(3)))
+    points = spark.createDataFrame([(k,) for k in (0, 5, 10**6, 10**9, 10**12, 10**12 + 9)], "pid long")
+    spans = spark.createDataFrame([(4, 6), (10**6, 10**12 + 1), (10**9, 10**9)], "start long, end long")
+    assert sorted(r.pid for r in si.points_of(points, spans).collect()) == [5, 10**6, 10**9, 10**12]
+    assert si.points_of(points, spans.limit(0)).count() == 0
