@@ -43,7 +43,7 @@ SYMBOL_BITS, MOST_BITS = 6, 16
 #: Looked-up values (n-grams times languages) that a worker keeps; beyond, it begins anew.
 MEMO_VALUES = 1 << 23
 PER_LANG, SAMPLE_CHARS, SAMPLE_DOCS, TOTAL_CHARS, MOST_LANGS = 400, 20_000, 200_000, 32_000_000, 10_000
-CHUNK_CHARS, EVIDENCE = 2_000_000, 100
+CHUNK_CHARS, EVIDENCE = 500_000, 100
 UNDECIDED = "und"
 #: A document is rejected this many standard errors, plus this many nats, above what calibration saw.
 REJECT_SIGMAS, REJECT_NATS = 6.0, 0.6
@@ -268,7 +268,7 @@ def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
         model = memo["model"]
         out: list[list] = [[], [], [], []]
 
-        most = max(50_000, CHUNK_CHARS * 4 // max(4, len(model.models)))  # new n-grams of a chunk times languages stay few
+        most = max(50_000, CHUNK_CHARS * 16 // max(16, len(model.models)))  # new n-grams of a chunk times languages stay few
 
         def chunks() -> Iterator[list[str]]:
             chunk, size = [], 0

@@ -31,7 +31,7 @@ from octolith.llm.common import grouped_rank, materialize, table
 
 CAPACITY, END_ID = 4096, 1
 #: Words, and stretches without white space, that a worker remembers the ids of.
-REMEMBERED = 400_000
+REMEMBERED = 250_000
 #: Pieces of one length are ranked in this many blocks at least, and in one for so many pieces.
 BLOCKS, PER_BLOCK = 64, 250_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
