@@ -9,7 +9,7 @@ parent; a search follows only the edges within the radius):
   with the data.  So the trees are sharded by pigeonhole: 4 blocks of 16 bits, at least one equal in
   any pair within 3 bits, and again 4 sub-blocks of the other 48 bits: 16 keys of 28 bits for each
   fingerprint.  A linked pair shares at least one key, so no link is lost, and each shard's tree lives
-  only in the task that holds the shard.  Nothing is broadcast.
+  only in the task that holds the shard.  Nothing is broadcast.  Large shards are dealt into pairs of blocks (``dealt``).
 * A task builds all its trees level by level with numpy, in insertion order, searches them, and emits
   only a spanning forest of the links that it found, never all pairs of a group.
 * Components: alternating large-star and small-star rounds over the forest edges, each round
@@ -47,11 +47,14 @@ FOREST_ROWS = 400_000
 #: Pairs (query, node) that a search holds at once, at the start of each chunk of queries.
 SEARCH_ROWS = 100_000
 
+#: A shard of more rows is dealt into pairs of blocks, about this many rows for each root of its size.
+WHOLE_SHARD, BLOCK_ROOTS = 256, 8
+
 KEYS, WIDE_RADIUS, AT_LEAST, SIGMAS = 12, 28, 0.8, 2.0
 MINIMA = 2 * KEYS
 CELLS = 1024
 #: Pairs of sketches that are compared at once, and rows with sketches that are turned into trees at once.
-SKETCH_PAIRS, SKETCH_ROWS = 8192, 50_000
+SKETCH_PAIRS, SKETCH_ROWS = 4096, 10_000
 _FACTORS = np.random.default_rng(8).integers(1 << 20, 1 << 32, MINIMA, dtype=np.uint32) | np.uint32(1)
 _BYTE_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
 
@@ -258,7 +261,8 @@ def _forest(radius: int, sketched: bool = False, cosine: bool = False):
         for b in batches:
             new = [b.column(0).to_numpy(), b.column(1).to_numpy().view(np.uint64), b.column(2 if sketched else 1).to_numpy()]
             if sketched:
-                new += [b.column(3).to_numpy(), np.frombuffer(b"".join(b.column(4).to_pylist()), dtype=np.uint8).reshape(-1, CELLS)]
+                octets = b.column(4)
+                new += [b.column(3).to_numpy(), np.frombuffer(octets.buffers()[2], dtype=np.uint8)[octets.offset * CELLS : (octets.offset + len(octets)) * CELLS].reshape(-1, CELLS)]
             held = [np.concatenate(x) for x in zip(held, new, strict=True)] if held else new
             if len(held[0]) >= (SKETCH_ROWS if sketched else FOREST_ROWS) and (cut := int(np.searchsorted(held[0], held[0][-1]))):
                 yield links(*[x[:cut] for x in held])
@@ -269,6 +273,21 @@ def _forest(radius: int, sketched: bool = False, cosine: bool = False):
     return run
 
 
+def dealt(keys: DataFrame) -> DataFrame:
+    """(shard, node) of rows (shard, node), ready to be searched shard by shard.
+
+    A shard of one node has no link and goes; shards are counted first, as small rows.  One of c > WHOLE_SHARD nodes would be a hot task: its nodes are
+    dealt into B = sqrt(c) / BLOCK_ROOTS blocks by a hash, and each pair of blocks is a shard of its own.  Every two nodes still meet, a node travels B times
+    and a task gets about 2 * BLOCK_ROOTS * sqrt(c) of them.
+    """
+    counts = materialize(keys.groupBy(F.col("shard").alias("_s")).agg(F.count(F.lit(1)).alias("_c")).filter("_c > 1"), "shards")
+    blocks = F.when(F.col("_c") > WHOLE_SHARD, F.ceil(F.sqrt("_c") / BLOCK_ROOTS)).otherwise(1).cast("int")
+    rows = keys.join(counts, F.col("shard") == F.col("_s")).withColumn("_b", blocks)
+    rows = rows.select("shard", "node", "_b", F.pmod(F.xxhash64("node"), F.col("_b")).alias("_own"), F.explode(F.sequence(F.lit(0), F.col("_b") - 1)).alias("_other"))
+    pair = F.xxhash64("shard", F.least("_own", "_other"), F.greatest("_own", "_other"))
+    return rows.select(F.when(F.col("_b") == 1, F.col("shard")).otherwise(pair).alias("shard"), "node")
+
+
 def hamming_links(fps: DataFrame, radius: int = 3) -> DataFrame:
     """(u, v): edges that connect the distinct values of ``fps.fp`` (long) within ``radius`` <= 3 bits."""
     if not 0 <= radius <= 3:
@@ -283,7 +302,8 @@ def hamming_links(fps: DataFrame, radius: int = 3) -> DataFrame:
         for j in range(4):
             sub = F.shiftrightunsigned(rest, SUB_BITS * j).bitwiseAND(F.lit((1 << SUB_BITS) - 1))
             keys.append(F.lit(i * 4 + j).cast("long") * (1 << 28) + block * (1 << SUB_BITS) + sub)
-    shards = fps.select(F.explode(F.array(*keys)).alias("shard"), "fp").repartition("shard").sortWithinPartitions("shard", "fp")
+    shards = dealt(fps.select(F.explode(F.array(*keys)).alias("shard"), F.col("fp").alias("node")))
+    shards = shards.withColumnRenamed("node", "fp").repartition("shard").sortWithinPartitions("shard", "fp")
     return shards.mapInArrow(_forest(radius), "u long, v long")
 
 
@@ -364,16 +384,11 @@ def with_sketch(docs: DataFrame, width: int) -> DataFrame:
 
 
 def shingle_links(rows: DataFrame, measure: str = "cosine") -> DataFrame:
-    """(u, v): forest edges between nodes of ``with_sketch`` rows that are alike.
-
-    A shard of one node has no edge: keys are counted first, as small rows, and a sketch travels only to the shards that its
-    node shares with another one.
-    """
+    """(u, v): forest edges between nodes of ``with_sketch`` rows that are alike; a sketch travels only to the shards that its node shares with another one."""
     if measure not in ("cosine", "jaccard"):
         raise ValueError("the similarity is a cosine or Jaccard's")
-    keys = rows.groupBy("node").agg(F.first("keys").alias("keys")).select(F.explode(F.array_distinct("keys")).alias("shard"), F.col("node").alias("_n"))
-    shared = keys.groupBy(F.col("shard").alias("_s")).agg(F.count(F.lit(1)).alias("_c")).filter("_c > 1")
-    places = keys.join(materialize(shared, "shards"), F.col("shard") == F.col("_s"), "left_semi")
+    keys = rows.groupBy("node").agg(F.first("keys").alias("keys")).select(F.explode(F.array_distinct("keys")).alias("shard"), "node")
+    places = dealt(keys).withColumnRenamed("node", "_n")
     nodes = rows.groupBy("node").agg(*[F.first(c).alias(c) for c in ("fp", "n", "sketch")])
     shards = places.join(nodes, F.col("node") == F.col("_n")).select("shard", "fp", "node", "n", "sketch").repartition("shard").sortWithinPartitions("shard", "node")
     return shards.mapInArrow(_forest(WIDE_RADIUS, sketched=True, cosine=measure == "cosine"), "u long, v long")

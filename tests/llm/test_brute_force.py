@@ -259,6 +259,20 @@ def test_forest_against_all_pairs(spread):
     assert np.array_equal(got, want)
 
 
+def test_large_shards_are_dealt(spark, monkeypatch):
+    """Shards cut into pairs of blocks give the same components: no link between blocks is lost."""
+    rng = np.random.default_rng(23)
+    start = rng.integers(0, 2**62, 4, dtype=np.uint64)
+    fp = np.repeat(start, 300)
+    for _ in range(3):
+        fp = fp ^ (np.uint64(1) << rng.integers(0, 62, len(fp)).astype(np.uint64))
+    rows = spark.createDataFrame([(int(x),) for x in np.unique(fp).view(np.int64)], "fp long").repartition(4)
+    want = sorted(map(tuple, simhash.connected_components(simhash.hamming_links(rows)).collect()))
+    monkeypatch.setattr(simhash, "WHOLE_SHARD", 8)
+    monkeypatch.setattr(simhash, "BLOCK_ROOTS", 2)
+    assert sorted(map(tuple, simhash.connected_components(simhash.hamming_links(rows)).collect())) == want and len(want) > 100
+
+
 # personal data ----------------------------------------------------------------------------------------
 
 
