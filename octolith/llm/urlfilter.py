@@ -60,6 +60,7 @@ def match_table(rows: DataFrame, rules: Sequence[tuple[str, str, str]]) -> DataF
     tails = F.expr("transform(sequence(1, size(split(_h, '[.]'))), i -> substring_index(_h, '.', -i))")
     fits = pairs.select("_h", "_p", F.explode(F.array_distinct(tails)).alias("_tail")).join(known, (F.col("_tail") == F.col("_rhost")) & F.startswith("_p", "_rpath"))
     best = fits.groupBy("_h", "_p").agg(F.max(F.struct("_size", "_first", F.concat("_rhost", "_rpath").alias("rule"), "_verdict")).alias("_best"))
+    best = materialize(best, "rules")  # the pages' side of the join is a plain shuffle then, which Spark can split
     out = rows.join(best, (F.col("host") == F.col("_h")) & (F.col("path") == F.col("_p")), "left")
     return out.withColumns({"rule": F.col("_best.rule"), "verdict": F.col("_best._verdict")}).drop("_h", "_p", "_best")
 
