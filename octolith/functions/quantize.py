@@ -10,22 +10,26 @@ def dequantize(stored: Column, scale: float, offset: float, translation: float =
     return stored.cast("double") * F.lit(scale) + F.lit(offset) + F.lit(translation)
 
 
+def _steps(value: Column, scale: float, offset: float) -> Column:
+    """In doubles; the integer part is the nearest integer, halves away from zero."""
+    v = (value - F.lit(offset)) / F.lit(scale)
+    return v + F.when(v >= 0, 0.5).otherwise(-0.5)
+
+
 def quantize(value: Column, scale: float, offset: float) -> Column:
     """To the nearest integer, halves away from zero."""
-    v = (value - F.lit(offset)) / F.lit(scale)
-    return (v + F.when(v >= 0, 0.5).otherwise(-0.5)).cast("long")
+    return _steps(value, scale, offset).cast("long")
 
 
 def overflows(low: Column, high: Column, scale: float, offset: float) -> Column:
-    """Whether a box leaves the 32-bit integers when quantized: a bound would come back with another sign."""
-    bits, half = 1 << 32, 1 << 31
+    """Whether a box leaves the 32-bit integers when quantized, however far: the sign that a wrapped bound has says nothing after a whole turn."""
+    half = float(1 << 31)
 
-    def changed(v: Column) -> Column:
-        q = quantize(v, scale, offset)
-        wrapped = F.pmod(q + half, F.lit(bits)) - half
-        return F.signum(wrapped.cast("double")) != F.signum(q.cast("double"))
+    def outside(v: Column) -> Column:
+        q = _steps(v, scale, offset)
+        return (q >= half) | (q <= -half - 1)
 
-    return changed(low) | changed(high)
+    return outside(low) | outside(high)
 
 
 def auto_offset(low: Column, high: Column, scale: float) -> Column:

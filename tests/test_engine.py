@@ -125,6 +125,27 @@ def test_quantize(spark):
     assert [r[0] for r in rows.collect()] == [1, -1, 1, -2]
 
 
+def test_overflows(spark):
+    """However far a bound lies outside: by whole turns of 32 bits, where its sign comes back, and beyond 64 bits."""
+    bounds = [(0.0, 2.0**31 - 1), (-(2.0**31), 0.0), (-(2.0**31) - 0.25, 2.0**31 - 0.75), (0.0, 2.0**31 - 0.5), (0.0, 2.0**31), (-(2.0**31) - 0.5, 0.0), (-(2.0**31) - 1, 0.0)]
+    far = [(1.0, 2.0**32 + 5), (-(2.0**32) - 5, -1.0), (1.0, 1.4 * 2.0**32), (1.0, 2.0**32), (0.0, 1e300), (-1e300, 0.0)]
+    rows = spark.createDataFrame([(k, *b) for k, b in enumerate(bounds + far)], "k int, low double, high double")
+    got = rows.orderBy("k").select(quantize.overflows(F.col("low"), F.col("high"), 1.0, 0.0), quantize.overflows(F.col("low") * 0.5 + 8, F.col("high") * 0.5 + 8, 0.5, 8.0)).collect()
+    assert [r[0] for r in got] == [False] * 3 + [True] * (len(bounds + far) - 3)
+    assert [r[1] for r in got] == [r[0] for r in got]
+
+
+@pytest.mark.parametrize("ends", [(-0.6, 0.4), (-0.6, 0.1), (-0.6, -0.55), (0.1, 0.4), (-0.6, 0.6), (-0.5, -0.5), (0.0, 0.0), (-0.6, 5000.0), (-0.6, 1e13), (-0.6, None), None])
+def test_overflow_check(spark, tmp_path, ends):
+    """The upper bound one turn of 32 bits above, the lower one inside; a null embedding, no row."""
+    vectors = [] if ends is None else [None if e is None else [e] * 64 for e in ends]
+    spark.createDataFrame([(k, v, 0) for k, v in enumerate(vectors)], "vec_id long, embedding array<float>, label int").coalesce(1).write.parquet(f"{tmp_path}/embeddings.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS FROM read_parquet('{tmp_path}/embeddings.parquet/*.parquet')")
+    want = con.sql(__spark_entry__.oracle_sql()["overflow_check"]).fetchall()
+    assert [tuple(r) for r in __spark_entry__.queries()["overflow_check"](spark, str(tmp_path)).collect()] == want
+
+
 @pytest.mark.parametrize("kind", [0, 2, 3, 5, 7, 8, 10])
 def test_las(spark, tmp_path, kind):
     rng = np.random.default_rng(kind)
